@@ -117,13 +117,28 @@ def _slip(a: str, b: str) -> Column:
 
 
 def _merge_slips(units: DataFrame, summary: DataFrame) -> DataFrame:
-    """unit -> lead: a unit that stands beside a larger one with nearly its name takes that one's place."""
-    v = summary.select("unit", "owner", "kind", "direction", "facility", "number", "stem", "y", "x", "n", F.explode("drops").alias("d"))
-    w = v.select("owner", "kind", "direction", "facility", "number", "d", F.col("unit").alias("unit2"), F.col("stem").alias("stem2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("n").alias("n2"))
-    both = v.join(w, ["owner", "kind", "direction", "facility", "number", "d"]).where("stem <> stem2").where(_slip("stem", "stem2"))
-    beside = F.col("y").isNull() | F.col("y2").isNull() | (sphere_m(F.col("y"), F.col("x"), F.col("y2"), F.col("x2")) <= 400)
+    """unit -> lead: a unit beside a larger one of the same owner and facility with nearly its name takes that one's place.
+
+    With both positions known, beside is 150 m and nearly is two slips (one on each side); else one slip is allowed.
+    """
+    key = ["owner", "kind", "direction", "facility", "number"]
+    cell = lambda c: F.floor(F.col(c) * 400).cast("long")
+    around = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
+    base = summary.select("unit", *key, "stem", "y", "x", "n", "drops")
+    other = base.select(*key, F.col("unit").alias("unit2"), F.col("stem").alias("stem2"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("n").alias("n2"), F.col("drops").alias("drops2"))
+    # a longitude cell covers 150 m up to 57 degrees of latitude
+    placed_here = base.where("y is not null").withColumn("cy", around("y")).withColumn("cx", around("x"))
+    near = placed_here.join(other.where("y2 is not null").withColumn("cy", cell("y2")).withColumn("cx", cell("x2")), [*key, "cy", "cx"])
+    near = near.where((F.levenshtein("stem", "stem2") <= F.when(F.least(F.length("stem"), F.length("stem2")) >= 3, 2).otherwise(1)) & (sphere_m(F.col("y"), F.col("x"), F.col("y2"), F.col("x2")) <= 150))
+    loose = base.withColumn("d", F.explode("drops")).join(other.withColumn("d", F.explode("drops2")), [*key, "d"]).where("y is null or y2 is null").where(_slip("stem", "stem2"))
+    cols = ["unit", "unit2", "stem", "stem2", "n", "n2", "y2"]
     larger = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("stem2") < F.col("stem")))
-    lead = both.where(beside & larger).groupBy("unit").agg(F.max_by("unit2", F.struct(F.col("y2").isNotNull(), "n2", "unit2")).alias("lead"))
+    both = near.select(*cols).unionAll(loose.select(*cols)).where("stem <> stem2").where(larger)
+    lead = both.groupBy("unit").agg(F.max_by("unit2", F.struct(F.col("y2").isNotNull(), "n2", "unit2")).alias("lead"))
+    # leads run towards larger units, so following them twice more ends all chains of slips of one place
+    for _ in range(2):
+        further = lead.select(F.col("unit").alias("lead"), F.col("lead").alias("next"))
+        lead = lead.join(further, "lead", "left").select("unit", F.coalesce("next", "lead").alias("lead"))
     return units.join(lead, "unit", "left").withColumn("unit", F.coalesce("lead", "unit")).drop("lead")
 
 
@@ -168,21 +183,25 @@ def propagate(edges: DataFrame, tolerance: float = 1e-3, rounds: int = 30, every
 def match(
     left: DataFrame, left_id: str, left_owner: str, left_name: str, left_lat: str, left_lon: str,
     right: DataFrame, right_id: str, right_owner_name: str, right_name: str, right_reading: str, right_lat: str, right_lon: str,
-    agencies: DataFrame, agency_name: str,
+    agencies: DataFrame, agency_name: str, readings: DataFrame | None = None,
 ) -> DataFrame:
     """(left_id, right_id, confidence): records of the same owner's same place; all records of matched units pair up.
 
     Left records with a null owner, and records of either side with a null or blank name, match nothing. Right records
     with an unknown owner are tried with every owner within reach of their position, and match nothing without one. A
     position that is missing or impossible neither helps nor hinders. Rows repeated under one id count once; a name in
-    kana stands for the name that the right side's readings give it.
+    kana stands for the name that the right side's readings, or ``readings`` (name, reading), give it.
     """
     parts = parts_udf()
     lraw = left.select(F.col(left_id).cast("string").alias("id"), F.col(left_owner).cast("string").alias("owner"), F.col(left_name).alias("name"), F.col(left_lat).alias("la"), F.col(left_lon).alias("lo")).distinct().where("id is not null and owner is not null and name is not null")
     rraw = right.select(F.col(right_id).cast("string").alias("id"), F.col(right_owner_name).alias("op"), F.col(right_name).alias("name"), F.col(right_reading).alias("reading"), F.col(right_lat).alias("la"), F.col(right_lon).alias("lo")).distinct().where("id is not null and name is not null")
-    names = lraw.select("name").unionAll(rraw.select("name")).distinct().select("name", parts("name").alias("p")).where("p.kind is not null")
+    known_readings = rraw.select("name", "reading")
+    if readings is not None:
+        known_readings = known_readings.unionAll(readings.select("name", "reading"))
+    known_readings = known_readings.where("reading is not null and name is not null")
+    names = lraw.select("name").unionAll(rraw.select("name")).unionAll(known_readings.select("name")).distinct().select("name", parts("name").alias("p")).where("p.kind is not null")
     # kana names by the readings written beside names
-    read = rraw.where("reading is not null").groupBy("reading", "name").agg(F.count(F.lit(1)).alias("n")).join(names, "name").where("p.kind <> 'kana'")
+    read = known_readings.groupBy("reading", "name").agg(F.count(F.lit(1)).alias("n")).join(names, "name").where("p.kind <> 'kana'")
     read = read.select(parts("reading")["stem"].alias("kana"), "p", "n").groupBy("kana", "p").agg(F.sum("n").alias("n")).groupBy("kana").agg(F.max_by("p", F.struct("n", F.col("p.stem"))).alias("kp"))
     names = names.join(read, (F.col("p.kind") == "kana") & (F.col("p.stem") == F.col("kana")), "left").select("name", F.coalesce("kp", "p").alias("p"))
     names = cut(names.select("name", "p.*"))
@@ -209,11 +228,22 @@ def match(
     k = ["owner", "kind", "direction", "facility", "number", "d"]
     a = ls.select(*k[:-1], F.explode("drops").alias("d"), F.col("unit").alias("u"), F.col("stem").alias("s1"), F.col("y").alias("y1"), F.col("x").alias("x1"))
     b = rs.select(*k[:-1], F.explode("drops").alias("d"), F.col("unit").alias("v"), F.col("stem").alias("s2"), F.col("y").alias("y2"), F.col("x").alias("x2"), "sure")
-    pairs = a.join(b, k).where((F.col("s1") == F.col("s2")) | _slip("s1", "s2")).drop("d").distinct()
+    pairs = a.join(b, k).where((F.col("s1") == F.col("s2")) | _slip("s1", "s2")).drop("d")
+    # two slips, one on each side, are allowed where the positions agree
+    cell = lambda c: F.floor(F.col(c) * 400).cast("long")
+    around = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
+    a2 = a.drop("d").distinct().where("y1 is not null").withColumn("cy", around("y1")).withColumn("cx", around("x1"))
+    b2 = b.drop("d").distinct().where("y2 is not null").withColumn("cy", cell("y2")).withColumn("cx", cell("x2"))
+    close = a2.join(b2, [*k[:-1], "cy", "cx"]).where((F.levenshtein("s1", "s2") == 2) & (F.least(F.length("s1"), F.length("s2")) >= 3)).where(sphere_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")) <= 150)
+    pairs = pairs.unionByName(close.select(*pairs.columns)).distinct()
     m = sphere_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
     by_place = F.when(m.isNull(), 0.0).when(m <= 150, 4.0).when(m <= 300, 2.5).when(m <= APART_M, 0.0)
-    by_name = F.when(F.col("s1") == F.col("s2"), 3.0).otherwise(-0.5)
+    by_name = F.when(F.col("s1") == F.col("s2"), 3.0).when(F.levenshtein("s1", "s2") == 1, -0.5).otherwise(-1.5)
     by_owner = F.when(F.col("sure"), 0.5).otherwise(-1.5)
     edges = pairs.where(m.isNull() | (m <= APART_M)).select("u", "v", (by_place + by_name + by_owner).alias("s"))
     p = propagate(edges)
-    return p.where("p >= 0.05").join(lu.select(F.col("id").alias("left_id"), F.col("unit").alias("u")).distinct(), "u").join(ru.select(F.col("id").alias("right_id"), F.col("unit").alias("v")).distinct(), "v").groupBy("left_id", "right_id").agg(F.max("p").alias("confidence"))
+    lm, rm = lu.select(F.col("id").alias("left_id"), F.col("unit").alias("u")).distinct(), ru.select(F.col("id").alias("right_id"), F.col("unit").alias("v"), "sure").distinct()
+    met = p.where("p >= 0.05").join(rm, "v")
+    # a record whose owner was guessed belongs to the owner it fits best
+    met = met.withColumn("best", F.max("p").over(W.partitionBy("right_id"))).where("sure or p = best")
+    return met.join(lm, "u").groupBy("left_id", "right_id").agg(F.max("p").alias("confidence"))
