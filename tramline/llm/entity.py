@@ -134,7 +134,7 @@ def _merge_slips(units: DataFrame, summary: DataFrame) -> DataFrame:
     cols = ["unit", "unit2", "stem", "stem2", "n", "n2", "y2"]
     larger = (F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("stem2") < F.col("stem")))
     both = near.select(*cols).unionAll(loose.select(*cols)).where("stem <> stem2").where(larger)
-    lead = both.groupBy("unit").agg(F.max_by("unit2", F.struct(F.col("y2").isNotNull(), "n2", "unit2")).alias("lead"))
+    lead = cut(both.groupBy("unit").agg(F.max_by("unit2", F.struct(F.col("y2").isNotNull(), "n2", "unit2")).alias("lead")))
     # leads run towards larger units, so following them twice more ends all chains of slips of one place
     for _ in range(2):
         further = lead.select(F.col("unit").alias("lead"), F.col("lead").alias("next"))
@@ -209,7 +209,7 @@ def match(
     lrec = _turned(lraw, "la", "lo", "owner", good).join(names, "name")
     cols = ["id", "owner", "y", "x", "kind", "direction", "stem", "facility", "number", "drops"]
     unit = F.concat_ws("|", "owner", "kind", "direction", "stem", "facility", "number", "place")
-    lu = _units(lrec.select(*cols)).select("id", unit.alias("unit"), "owner", "y", "x", "kind", "direction", "stem", "facility", "number", "drops")
+    lu = cut(_units(lrec.select(*cols)).select("id", unit.alias("unit"), "owner", "y", "x", "kind", "direction", "stem", "facility", "number", "drops"))
     lu = cut(_merge_slips(lu, _summary(lu)))
     ls = _summary(lu)
     # owners of the right records: by the operator's name, or every owner with a unit near enough
@@ -221,7 +221,7 @@ def match(
     guess = unknown.join(cells, ["kind", "direction", "facility", "number", "cy", "cx", "d"]).select("id", F.col("owner2").alias("owner"), "name", "la", "lo").distinct()
     rows = known.select("id", "owner", "name", "la", "lo", F.lit(True).alias("sure")).unionAll(guess.select("id", "owner", "name", "la", "lo", F.lit(False).alias("sure")))
     rrec = _turned(rows, "la", "lo", "owner", good).join(names, "name")
-    ru = _units(rrec.select(*cols, "sure")).select("id", unit.alias("unit"), "owner", "y", "x", "kind", "direction", "stem", "facility", "number", "drops", "sure")
+    ru = cut(_units(rrec.select(*cols, "sure")).select("id", unit.alias("unit"), "owner", "y", "x", "kind", "direction", "stem", "facility", "number", "drops", "sure"))
     ru = cut(_merge_slips(ru, _summary(ru)))
     sure = ru.groupBy("unit").agg(F.max("sure").alias("sure"))
     rs = _summary(ru).join(sure, "unit")
