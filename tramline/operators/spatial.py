@@ -17,9 +17,9 @@ def placed(df: DataFrame, lat: str, lon: str) -> Column:
 
 
 def sphere_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_M) -> Column:
-    """Great-circle metres (haversine)."""
+    """Great-circle metres (haversine); null if a coordinate is null."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * radius * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def near(points: DataFrame, key: str, lat: str, lon: str, metres: float) -> DataFrame:

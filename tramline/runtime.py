@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,8 +32,20 @@ def session(app: str = "tramline", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, unless their PYTHONPATH has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tramline_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tramline-package-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "tramline"), "zip", root, "tramline"))
+    sc._tramline_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Table ``name`` of a folder of Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
