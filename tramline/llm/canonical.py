@@ -114,7 +114,7 @@ def canonical(names: DataFrame, name: str, reference: DataFrame, ref_id: str, re
         return words.mapInPandas(run, out)
     shards = -(-ref.count() // shard_rows)
     left = words.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(tasks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = ref.withColumn("shard", F.pmod(F.xxhash64("i"), F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).cast("long"))
+    right = ref.withColumn("shard", F.pmod(F.xxhash64("i"), F.lit(shards)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
     met = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInPandas(lambda a, b: search(Forest([tuple(x) for x in b[["i", "n", "r"]].itertuples(index=False)]), a["name"]), out)
     best = met.groupBy("name").agg(F.min(F.when(F.col("ref_id").isNotNull(), F.struct("distance", "ref_id"))).alias("b"))
     return best.select("name", F.col("b.ref_id").alias("ref_id"), F.col("b.distance").alias("distance"))

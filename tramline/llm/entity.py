@@ -66,7 +66,7 @@ def operator_udf():
 
 def operators_of(names: DataFrame, name: str, agencies: DataFrame, owner: str, agency_name: str) -> DataFrame:
     """(name, owner): owners whose name a free-entered operator name stands for; of slips, the nearest. Several owners of one name all count."""
-    k = operator_udf()
+    k = operator_udf().asNondeterministic()  # keeps the optimiser from evaluating it once per field
     a = agencies.where(F.col(owner).isNotNull()).select(F.col(owner).alias("owner"), k(agency_name).alias("k")).where("k.key is not null").distinct()
     n = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().select("name", k("name").alias("k")).where("k.key is not null")
     # a written operator that runs two words into one still begins with the owner's key
@@ -151,7 +151,7 @@ def _summary(units: DataFrame) -> DataFrame:
     return u.select("unit", "owner", "t.*", "n", F.when(F.col("ny") > 0, F.col("sy") / F.col("ny")).alias("y"), F.when(F.col("ny") > 0, F.col("sx") / F.col("ny")).alias("x"))
 
 
-def propagate(edges: DataFrame, tolerance: float = 1e-3, rounds: int = 30, every: int = 5) -> DataFrame:
+def propagate(edges: DataFrame, tolerance: float = 5e-3, rounds: int = 40, every: int = 4) -> DataFrame:
     """Marginal of each edge (u, v, s) under one-to-one factors on both sides; s is the log-odds of the edge by itself.
 
     The message of u to v is s - log(1 + sum of exp over u's other incoming messages), and likewise back; edges that
@@ -192,7 +192,7 @@ def match(
     position that is missing or impossible neither helps nor hinders. Rows repeated under one id count once; a name in
     kana stands for the name that the right side's readings, or ``readings`` (name, reading), give it.
     """
-    parts = parts_udf()
+    parts = parts_udf().asNondeterministic()
     lraw = left.select(F.col(left_id).cast("string").alias("id"), F.col(left_owner).cast("string").alias("owner"), F.col(left_name).alias("name"), F.col(left_lat).alias("la"), F.col(left_lon).alias("lo")).distinct().where("id is not null and owner is not null and name is not null")
     rraw = right.select(F.col(right_id).cast("string").alias("id"), F.col(right_owner_name).alias("op"), F.col(right_name).alias("name"), F.col(right_reading).alias("reading"), F.col(right_lat).alias("la"), F.col(right_lon).alias("lo")).distinct().where("id is not null and name is not null")
     known_readings = rraw.select("name", "reading")
@@ -211,9 +211,9 @@ def match(
     unit = F.concat_ws("|", "owner", "kind", "direction", "stem", "facility", "number", "place")
     lu = cut(_units(lrec.select(*cols)).select("id", unit.alias("unit"), "owner", "y", "x", "kind", "direction", "stem", "facility", "number", "drops"))
     lu = cut(_merge_slips(lu, _summary(lu)))
-    ls = _summary(lu)
+    ls = cut(_summary(lu))
     # owners of the right records: by the operator's name, or every owner with a unit near enough
-    owners = operators_of(rraw, "op", agencies, left_owner, agency_name)
+    owners = cut(operators_of(rraw, "op", agencies, left_owner, agency_name))
     named = rraw.join(owners, rraw["op"] == owners["name"], "left").drop(owners["name"])
     known = named.where("owner is not null")
     unknown = named.where("owner is null").join(names, "name").where(placed(rraw, "la", "lo")).withColumn("cy", F.explode(F.sequence(F.floor(F.col("la") * 50).cast("long") - 1, F.floor(F.col("la") * 50).cast("long") + 1))).withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo") * 50).cast("long") - 1, F.floor(F.col("lo") * 50).cast("long") + 1))).withColumn("d", F.explode("drops"))
@@ -224,7 +224,7 @@ def match(
     ru = cut(_units(rrec.select(*cols, "sure")).select("id", unit.alias("unit"), "owner", "y", "x", "kind", "direction", "stem", "facility", "number", "drops", "sure"))
     ru = cut(_merge_slips(ru, _summary(ru)))
     sure = ru.groupBy("unit").agg(F.max("sure").alias("sure"))
-    rs = _summary(ru).join(sure, "unit")
+    rs = cut(_summary(ru).join(sure, "unit"))
     k = ["owner", "kind", "direction", "facility", "number", "d"]
     a = ls.select(*k[:-1], F.explode("drops").alias("d"), F.col("unit").alias("u"), F.col("stem").alias("s1"), F.col("y").alias("y1"), F.col("x").alias("x1"))
     b = rs.select(*k[:-1], F.explode("drops").alias("d"), F.col("unit").alias("v"), F.col("stem").alias("s2"), F.col("y").alias("y2"), F.col("x").alias("x2"), "sure")
@@ -235,12 +235,12 @@ def match(
     a2 = a.drop("d").distinct().where("y1 is not null").withColumn("cy", around("y1")).withColumn("cx", around("x1"))
     b2 = b.drop("d").distinct().where("y2 is not null").withColumn("cy", cell("y2")).withColumn("cx", cell("x2"))
     close = a2.join(b2, [*k[:-1], "cy", "cx"]).where((F.levenshtein("s1", "s2") == 2) & (F.least(F.length("s1"), F.length("s2")) >= 3)).where(sphere_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2")) <= 150)
-    pairs = pairs.unionByName(close.select(*pairs.columns)).distinct()
+    pairs = pairs.unionByName(close.select(*pairs.columns))
     m = sphere_m(F.col("y1"), F.col("x1"), F.col("y2"), F.col("x2"))
     by_place = F.when(m.isNull(), 0.0).when(m <= 150, 4.0).when(m <= 300, 2.5).when(m <= APART_M, 0.0)
     by_name = F.when(F.col("s1") == F.col("s2"), 3.0).when(F.levenshtein("s1", "s2") == 1, -0.5).otherwise(-1.5)
     by_owner = F.when(F.col("sure"), 0.5).otherwise(-1.5)
-    edges = pairs.where(m.isNull() | (m <= APART_M)).select("u", "v", (by_place + by_name + by_owner).alias("s"))
+    edges = pairs.where(m.isNull() | (m <= APART_M)).groupBy("u", "v").agg(F.max(by_place + by_name + by_owner).alias("s"))
     p = propagate(edges)
     lm, rm = lu.select(F.col("id").alias("left_id"), F.col("unit").alias("u")).distinct(), ru.select(F.col("id").alias("right_id"), F.col("unit").alias("v"), "sure").distinct()
     met = p.where("p >= 0.05").join(rm, "v")
