@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feed_queries, sequence_queries
+from . import feed_queries, join_queries, sequence_queries
 
-_MODULES = [feed_queries, sequence_queries]
+_MODULES = [feed_queries, sequence_queries, join_queries]
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def sql() -> dict:
 
 
 def flagship(spark, d):
-    return feed_queries.p2_found(spark, d)
+    return join_queries.jn11(spark, d)
