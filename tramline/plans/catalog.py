@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feed_queries, join_queries, sequence_queries
+from . import feed_queries, join_queries, scalar_queries, sequence_queries
 
-_MODULES = [feed_queries, sequence_queries, join_queries]
+_MODULES = [feed_queries, sequence_queries, join_queries, scalar_queries]
 
 
 def queries() -> dict:
