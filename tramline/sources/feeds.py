@@ -179,24 +179,21 @@ def names_from(spark: SparkSession, path: str) -> DataFrame:
 
 
 def holidays(spark: SparkSession, path: str) -> DataFrame:
-    """(date, name) of a holiday CSV (Shift-JIS or UTF-8) whose rows begin with Y/M/D; other rows are left out."""
+    """(date, name) of a holiday CSV (Shift-JIS or UTF-8, at most 10 MB) whose rows begin with Y/M/D; other rows are left out."""
+    if os.path.getsize(path) > 10_000_000:
+        raise ValueError("too large for a list of holidays")
     with open(path, "rb") as f:
-        data = f.read(65536)
-    encoding = next(e for e in ("MS932", "UTF-8") if _decodes(data, {"MS932": "cp932", "UTF-8": "utf-8-sig"}[e]))
-    if data.startswith(BOM.encode()):
-        encoding = "UTF-8"
-    df = spark.read.option("encoding", encoding).csv(path)
-    day, name = F.regexp_replace(F.col(df.columns[0]), f"^{BOM}", ""), F.col(df.columns[1]) if len(df.columns) > 1 else F.lit(None)
-    d = F.to_date(F.try_to_timestamp(day, F.lit("y/M/d")))
-    return df.select(d.alias("date"), name.cast("string").alias("name")).where("date is not null")
-
-
-def _decodes(data: bytes, encoding: str) -> bool:
-    try:
-        data.decode(encoding)
-    except UnicodeDecodeError as e:
-        return e.end >= len(data) - 3
-    return True
+        data = f.read()
+    for encoding in ("utf-8-sig", "cp932"):
+        try:
+            rows = [(r + [None])[:2] for r in csv.reader(io.StringIO(data.decode(encoding), newline="")) if r]
+            break
+        except UnicodeDecodeError:
+            continue
+    else:
+        raise ValueError("neither UTF-8 nor Shift-JIS")
+    df = spark.createDataFrame(rows, "day string, name string")
+    return df.select(F.to_date(F.try_to_timestamp("day", F.lit("y/M/d"))).alias("date"), "name").where("date is not null")
 
 
 def reading_dictionary(spark: SparkSession, path: str, key: str = "stop_name") -> DataFrame:

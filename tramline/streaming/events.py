@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Hourly counts and sums by event type; on a stream, rows later than ``late`` behind the watermark are left out."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if events.isStreaming else e
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return g.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
