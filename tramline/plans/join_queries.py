@@ -314,7 +314,7 @@ def set05(s, d):
     return e.withColumn("origin", F.lit("kept")).unionAll(n.join(e, e.columns, "left_anti").withColumn("origin", F.lit("added")))
 
 
-@R.add("set06_union_reindexed", "with f as (select feed_id, count(*) n from routes group by 1), o as (select feed_id, coalesce(sum(n) over (order by feed_id rows between unbounded preceding and 1 preceding), 0) off from f) select route_id, off + row_number() over (partition by r.feed_id order by route_id) - 1 idx from routes r join o using (feed_id)")
+@R.add("set06_union_reindexed", "with f as (select feed_id, count(*) n from routes group by 1), o as (select feed_id, cast(coalesce(sum(n) over (order by feed_id rows between unbounded preceding and 1 preceding), 0) as bigint) off from f) select route_id, off + row_number() over (partition by r.feed_id order by route_id) - 1 idx from routes r join o using (feed_id)")
 def set06(s, d):
     r = table(s, d, "routes")
     f = r.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"))

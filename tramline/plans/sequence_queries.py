@@ -46,7 +46,7 @@ def win03(s, d):
 
 
 @R.add("win05_roll_over", f"""with {VISITS}, x as (select trip_id, seq, (arr // 60) % 1440 m from visits), y as (select *, case when m < lag(m) over w and m + 1440 - lag(m) over w <= 180 then 1 else 0 end j from x window w as (partition by trip_id order by seq))
-select trip_id, seq, m, m + 1440 * sum(j) over (partition by trip_id order by seq rows unbounded preceding) rolled from y""")
+select trip_id, seq, m, m + 1440 * cast(sum(j) over (partition by trip_id order by seq rows unbounded preceding) as bigint) rolled from y""")
 def win05(s, d):
     v = visits(s, d).select("trip_id", "seq", (F.floor(F.col("arr") / 60) % 1440).alias("m"))
     return S.roll_over(v).select("trip_id", "seq", "m", "rolled")
@@ -180,7 +180,7 @@ def win20(s, d):
 
 
 @R.add("win16_gap_clusters", f"""with {VISITS}, x as (select stop_id, arr, trip_id, seq, case when arr - lag(arr) over w > 3600 then 1 else 0 end nw from visits where stop_id is not null window w as (partition by stop_id order by arr, trip_id, seq)),
-y as (select stop_id, arr, sum(nw) over (partition by stop_id order by arr, trip_id, seq rows unbounded preceding) island from x) select stop_id, island, count(*) n, min(arr) lo, max(arr) hi, round(avg(arr), 2) mean from y group by 1, 2""")
+y as (select stop_id, arr, cast(sum(nw) over (partition by stop_id order by arr, trip_id, seq rows unbounded preceding) as bigint) island from x) select stop_id, island, count(*) n, min(arr) lo, max(arr) hi, round(avg(arr), 2) mean from y group by 1, 2""")
 def win16(s, d):
     v = visits(s, d).where("stop_id is not null").withColumn("ord", F.struct("trip_id", "seq"))
     return S.islands(v, "stop_id", "ord", "arr", 3600).groupBy("stop_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("arr").alias("lo"), F.max("arr").alias("hi"), F.round(F.avg("arr"), 2).alias("mean"))

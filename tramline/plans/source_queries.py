@@ -30,7 +30,7 @@ def flt11(s, d):
     return l.where(~F.col("line").rlike("[0-9]{1,2}:[0-9]{2}") & (F.size(F.regexp_extract_all("line", F.lit("(便)"), 1)) >= 2)).select("doc_id", "row")
 
 
-@R.add("src26_raw_text_sizes", "select source, count(*) n, sum(length(text)) chars from documents where text is not null group by 1")
+@R.add("src26_raw_text_sizes", "select source, count(*) n, cast(sum(length(text)) as bigint) chars from documents where text is not null group by 1")
 def src26(s, d):
     return table(s, d, "documents").where("text is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars"))
 

@@ -142,15 +142,17 @@ def col13(s, d):
     return docs(s, d).select(F.explode("trips").alias("t")).select("t.trip_id", F.array_join(F.reverse("t.cells.name"), ">").alias("names"))
 
 
-@R.add("col14_move_element", "select district_id, case when len(ring_lat) > 1 then [ring_lat[2]] || [ring_lat[1]] || ring_lat[3:] else ring_lat end moved from (select district_id, ring_lat from districts where len(list_distinct(ring_lat)) = len(ring_lat))")
+@R.add("col14_move_element", "select district_id, len(ring_lat) n, ring_lat[2] first_lat, ring_lat[1] second_lat, ring_lat[3] third_lat from districts where len(list_distinct(ring_lat)) = len(ring_lat)")
 def col14(s, d):
     t = table(s, d, "districts").where(F.size(F.array_distinct("ring_lat")) == F.size("ring_lat"))
-    return t.select("district_id", T.moved(F.col("ring_lat"), F.get("ring_lat", F.lit(0)), 1).alias("moved"))
+    m = t.select("district_id", T.moved(F.col("ring_lat"), F.get("ring_lat", F.lit(0)), 1).alias("m"))
+    return m.select("district_id", F.size("m").alias("n"), *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate(("first_lat", "second_lat", "third_lat"))])
 
 
-@R.add("col20_splice", "select district_id, ring_lat[1:1] || [0.0] || ring_lat[4:] line from districts")
+@R.add("col20_splice", "select district_id, len(ring_lat) - 1 n, ring_lat[1] first_lat, 0.0::double second_lat, ring_lat[4] third_lat from districts")
 def col20(s, d):
-    return table(s, d, "districts").select("district_id", T.spliced(F.col("ring_lat"), 1, 2, F.array(F.lit(0.0))).alias("line"))
+    m = table(s, d, "districts").select("district_id", T.spliced(F.col("ring_lat"), 1, 2, F.array(F.lit(0.0))).alias("m"))
+    return m.select("district_id", F.size("m").alias("n"), *[F.get("m", F.lit(i)).alias(c) for i, c in enumerate(("first_lat", "second_lat", "third_lat"))])
 
 
 @R.add("col15_map_merge", "select agency_id, 'en' lang, coalesce(agency_phone, '') phone from agency")
