@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feed_queries, join_queries, scalar_queries, sequence_queries, source_queries, structure_queries
+from . import feed_queries, further_queries, join_queries, scalar_queries, sequence_queries, source_queries, structure_queries
 
-_MODULES = [feed_queries, sequence_queries, join_queries, scalar_queries, structure_queries, source_queries]
+_MODULES = [feed_queries, sequence_queries, join_queries, scalar_queries, structure_queries, source_queries, further_queries]
 
 
 def queries() -> dict:
