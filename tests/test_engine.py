@@ -269,3 +269,30 @@ def test_engine_works_without_the_llm_package(tmp_path):
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith(('p1_', 'p6_', 'p7_', 'p9_', 'p10_')) for k in q)"], cwd=tmp_path, check=True, timeout=60)
 
 
+
+
+def test_shapefile_points(spark, tmp_path):
+    import struct
+
+    pts, names = [(139.0, 35.0), (140.0, 36.0)], ["駅前", "病院"]
+    body = b"".join(struct.pack(">II", i + 1, 10) + struct.pack("<Idd", 1, *p) for i, p in enumerate(pts))
+    (tmp_path / "a.shp").write_bytes(b"\0" * 100 + body)
+    field = b"P11_001".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([20]) + b"\0" * 15
+    rec = b"".join(b" " + n.encode("cp932").ljust(20) for n in names)
+    (tmp_path / "a.dbf").write_bytes(b"\x03\0\0\0" + struct.pack("<IHH", 2, 65, 21) + b"\0" * 20 + field + b"\r" + rec)
+    got = [(r["name"], r["lat"], r["lon"]) for r in feeds.scan_shapefile(spark, str(tmp_path / "*")).orderBy("lat").collect()]
+    assert got == [("駅前", 35.0, 139.0), ("病院", 36.0, 140.0)]
+    assert feeds.scan_shapefile(spark, str(tmp_path / "*"), box=(35.5, 37, 139, 141)).count() == 1
+
+
+def test_page_words_to_cells(spark):
+    from tramline.sources import documents
+
+    words = [("p", "駅", 0.0, 10.0), ("前", "x", 0.0, 0.0), ("p", "前", 12.0, 11.0), ("p", "8:00", 100.0, 10.0), ("p", "9:00", 150.0, 12.0), ("p", "病院", 0.0, 30.0), ("p", "8:10", 104.0, 30.0), ("p", "9:10", 149.0, 31.0)]
+    w = spark.createDataFrame(words, "page string, text string, x0 double, top double").where("page = 'p'")
+    g = documents.words_to_grid(w, "page")
+    got = sorted((r["name"], r["trip"], r["time"]) for r in documents.grid_to_cells(g, "page").collect())
+    assert got == [("病院", 0, "8:10"), ("病院", 1, "9:10"), ("駅前", 0, "8:00"), ("駅前", 1, "9:00")]
+    assert documents.uncovered_columns(w, "page", g).count() == 0
+    t = spark.createDataFrame([("g", 0, 0, "A"), ("g", 0, 1, "B"), ("g", 1, 0, "8:00"), ("g", 1, 1, "8:05"), ("g", 2, 0, "レ"), ("g", 2, 1, "9:05")], "i string, row int, col int, value string")
+    assert sorted((r["name"], r["time"]) for r in documents.grid_to_cells(t, "i", transposed=True).collect()) == [("A", "8:00"), ("B", "8:05")]

@@ -38,8 +38,17 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tramline_shipped", False):
         return
-    folder = tempfile.mkdtemp(prefix="tramline-package-")
-    sc.addPyFile(shutil.make_archive(os.path.join(folder, "tramline"), "zip", root, "tramline"))
+    local = tempfile.mkdtemp(prefix="tramline-package-")
+    path = shutil.make_archive(os.path.join(local, "tramline"), "zip", root, "tramline")
+    if named := spark.conf.get("spark.checkpoint.dir", None):  # a cluster: hand it over through the shared folder
+        with open(path, "rb") as f:
+            data = f.read()
+        shared = sc._jvm.org.apache.hadoop.fs.Path(f"{named.rstrip('/')}/package-{uuid.uuid4().hex}/tramline.zip")
+        out = shared.getFileSystem(sc._jsc.hadoopConfiguration()).create(shared)
+        out.write(bytearray(data))
+        out.close()
+        path = str(shared.toString())
+    sc.addPyFile(path)
     sc._tramline_shipped = True
 
 

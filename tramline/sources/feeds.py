@@ -278,3 +278,40 @@ def cached_lookup(keys: DataFrame, key: str, cache: DataFrame) -> tuple[DataFram
     """(answers, misses) of distinct keys against a cache table; the misses go to a rate-limited client and into the cache."""
     k = keys.where(F.col(key).isNotNull()).select(key).distinct()
     return k.join(cache, key), k.join(cache.select(key), key, "left_anti")
+
+
+def scan_shapefile(spark: SparkSession, path: str, encoding: str = "cp932", name_fields: tuple[str, ...] = ("P11_001", "name", "NAME"), box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """(name, lat, lon, fields) of the points of every .shp file a pattern names, with the .dbf beside it.
+
+    ``box`` (south, north, west, east) is tested before attributes are decoded. The name is the first of ``name_fields``
+    that exists, else the first field whose name holds one of them, else null. Shapes that are no points are left out.
+    """
+    import struct
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content, attributes in zip(pdf["content"], pdf["dbf"], strict=True):
+                n, head, size = struct.unpack("<IHH", attributes[4:12])
+                fields, at, off = [], 32, 1
+                while attributes[at] != 0x0D:
+                    fields.append((attributes[at : at + 11].split(b"\0")[0].decode(encoding), off, attributes[at + 16]))
+                    off, at = off + attributes[at + 16], at + 32
+                names = [f for f, _, _ in fields]
+                chosen = next((f for f in name_fields if f in names), next((f for f in names if any(x in f for x in name_fields)), None))
+                rows, pos, i = [], 100, 0
+                while pos + 8 <= len(content) and i < n:
+                    words = struct.unpack(">I", content[pos + 4 : pos + 8])[0]
+                    if words >= 10 and struct.unpack("<I", content[pos + 8 : pos + 12])[0] in (1, 11, 21):
+                        x, y = struct.unpack("<dd", content[pos + 12 : pos + 28])
+                        if box is None or (box[0] <= y <= box[1] and box[2] <= x <= box[3]):
+                            rec = attributes[head + i * size : head + (i + 1) * size]
+                            values = {f: rec[o : o + w].decode(encoding, "replace").strip() for f, o, w in fields}
+                            rows.append((values.get(chosen), y, x, values))
+                    pos, i = pos + 8 + words * 2, i + 1
+                yield pd.DataFrame(rows, columns=["name", "lat", "lon", "fields"])
+
+    files = spark.read.format("binaryFile").load(path)
+    stem = F.regexp_replace("path", r"\.(shp|dbf|SHP|DBF)$", "")
+    shp = files.where(F.lower("path").endswith(".shp")).select(stem.alias("stem"), "content")
+    dbf = files.where(F.lower("path").endswith(".dbf")).select(stem.alias("stem"), F.col("content").alias("dbf"))
+    return shp.join(dbf, "stem").select("content", "dbf").mapInPandas(read, "name string, lat double, lon double, fields map<string,string>")
