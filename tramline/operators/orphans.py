@@ -120,7 +120,7 @@ class OrphanTracker:
 
     def orphans(self) -> DataFrame:
         """References without a parent: tbl, fld, row_id, load_month, kind."""
-        return self.refs.where(F.col("kind").isNotNull()).select("tbl", "fld", "row_id", F.date_format("loaded_ref", "yyyy-MM").alias("load_month"), "kind")
+        return self.refs.where(F.col("kind").isNotNull()).select("tbl", "fld", "row_id", F.date_format(F.to_utc_timestamp("loaded_ref", F.current_timezone()), "yyyy-MM").alias("load_month"), "kind")
 
     def snapshot(self) -> DataFrame:
         """Orphan counts per table, field, month and kind."""
