@@ -34,15 +34,19 @@ def col02(s, d):
     return T.registry(T.cells(docs(s, d)), F.left("block", F.lit(6)))
 
 
-@R.add("col03_pivot_grid", f"""with {_CELLS} select block, "name", {', '.join(f'min("time") filter (where ord = {i}) t{i}' for i in range(1, 6))} from cells group by 1, 2""")
+_HOUR = 'cast(substr("time", 1, 2) as int) % 24'
+
+
+@R.add("col03_pivot_grid", f"""with {_CELLS} select block, "name", {', '.join(f'min("time") filter (where {_HOUR} = {i}) h{i}' for i in range(24))} from cells group by 1, 2""")
 def col03(s, d):
-    g = T.cells(docs(s, d)).groupBy("block", "name").pivot("ord", [1, 2, 3, 4, 5]).agg(F.min("time"))
-    return g.toDF("block", "name", *[f"t{i}" for i in range(1, 6)])
+    """Stops by hours: each stop's first time in every hour of the day."""
+    c = T.cells(docs(s, d)).withColumn("hour", F.left("time", F.lit(2)).cast("int") % 24)
+    return c.groupBy("block", "name").pivot("hour", list(range(24))).agg(F.min("time")).toDF("block", "name", *[f"h{i}" for i in range(24)])
 
 
-@R.add("col04_unpivot_grid", f"""with {_CELLS} select block, "name", 't' || ord t, min("time") "time" from cells where ord <= 5 group by 1, 2, 3""")
+@R.add("col04_unpivot_grid", f"""with {_CELLS} select block, "name", 'h' || {_HOUR} h, min("time") "time" from cells group by 1, 2, 3""")
 def col04(s, d):
-    return col03(s, d).unpivot(["block", "name"], [f"t{i}" for i in range(1, 6)], "t", "time").where("`time` is not null")
+    return col03(s, d).unpivot(["block", "name"], [f"h{i}" for i in range(24)], "h", "time").where("`time` is not null")
 
 
 _GRID = """nn as (select n_nationkey k, n_name from nation), rr as (select r_regionkey k, r_name from region)"""
@@ -101,16 +105,19 @@ def agg27(s, d):
     return T.zone_fares(T.triangular_fares(*_tri(s, d)), stops)[0]
 
 
-@R.add("col18_fare_matrix", f"with p as ({_TRI}) select from_name, max(price) filter (where to_name = (select n_name from nation where n_nationkey = 0)) first_zone, max(price) filter (where to_name = (select n_name from nation where n_nationkey = 1)) second_zone from p group by 1")
+_SQUARE = f"{_GRID}, p as (select n_name from_name, rr.k zone, nn.k * 10 + rr.k * 100 price from nn, rr where nn.k * 10 + rr.k * 100 >= 10 and n_name <> r_name)"
+
+
+@R.add("col18_fare_matrix", f"with {_SQUARE} select from_name, {', '.join(f'max(price) filter (where zone = {i}) zone_{i}' for i in range(5))} from p group by 1")
 def col18(s, d):
-    names = [r[0] for r in table(s, d, "nation").orderBy("n_nationkey").limit(2).select("n_name").collect()]
-    p = T.triangular_fares(*_tri(s, d)).groupBy("from_name").pivot("to_name", names).agg(F.first("price"))
-    return p.toDF("from_name", "first_zone", "second_zone")
+    z = table(s, d, "region").select(F.col("r_name").alias("to_name"), F.col("r_regionkey").alias("zone"))
+    p = T.square_fares(*_grid(s, d)).join(z, "to_name").groupBy("from_name").pivot("zone", list(range(5))).agg(F.first("price"))
+    return p.toDF("from_name", *[f"zone_{i}" for i in range(5)])
 
 
-@R.add("col19_matrix_to_pairs", f"with p as ({_TRI}) select from_name, case when to_name = (select n_name from nation where n_nationkey = 0) then 'first_zone' else 'second_zone' end zone, price from p where to_name in (select n_name from nation where n_nationkey < 2) and price > 0")
+@R.add("col19_matrix_to_pairs", f"with {_SQUARE} select from_name, 'zone_' || zone zone, price from p where price > 0")
 def col19(s, d):
-    return col18(s, d).unpivot("from_name", ["first_zone", "second_zone"], "zone", "price").where("price > 0")
+    return col18(s, d).unpivot("from_name", [f"zone_{i}" for i in range(5)], "zone", "price").where("price > 0")
 
 
 @R.add("dom05_fare_precedence", "select route_id, case when route_type = 3 and route_color is not null then 'zone' when route_short_name is not null then 'route' when agency_id is not null then 'category' else 'flat' end strategy from routes")
