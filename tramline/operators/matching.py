@@ -39,12 +39,15 @@ def fill(df: DataFrame, ref: DataFrame, key: str, columns: list[str], source: st
     return out.select(*keep, *[F.col(f"__n_{c}").alias(c) for c in columns], F.col("__note").alias("source"))
 
 
-@pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of a target and a candidate, in this order; null if one is null."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Similarity of a target and a candidate; marked so that the optimiser evaluates it once per pair.
+ratio = pandas_udf(_ratio, DoubleType()).asNondeterministic()
+
+
 def touching(names: DataFrame, ref: DataFrame, n: int = 2) -> DataFrame:
     """(name, cand): pairs where one holds the other, both of ``n`` characters or more, found by shared grams, not by a cross join.
 
@@ -58,13 +61,19 @@ def touching(names: DataFrame, ref: DataFrame, n: int = 2) -> DataFrame:
 
 
 def close_by_grams(names: DataFrame, ref: DataFrame, cutoff: float) -> DataFrame:
-    """(name, cand) that may reach ``cutoff``: they share a character and their lengths and character bags allow it."""
-    bag = lambda c: F.array_sort(F.filter(F.split(F.col(c), ""), lambda x: x != ""))
+    """(name, cand) that may reach ``cutoff`` (0.8 or more): they share a pair of characters, ends included, and their lengths and common pairs allow it."""
     pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.substr(F.concat(F.lit("^"), F.col(c), F.lit("$")), i + 1, F.lit(2))))
-    a, b = names.select("name").where("name <> ''").distinct(), ref.select("cand").where("cand <> ''").distinct()
-    met = a.withColumn("g", F.explode(pairs("name"))).join(b.withColumn("g", F.explode(pairs("cand"))), "g").select("name", "cand").distinct()
-    upper = 2 * F.least(F.length("name"), F.length("cand")) / (F.length("name") + F.length("cand"))
-    return met.where(upper >= cutoff).where(2 * F.size(F.array_intersect(bag("name"), bag("cand"))) > 0)
+
+    def side(df: DataFrame, c: str, n: str, k: str) -> DataFrame:
+        g = df.select(c).where(F.col(c) != "").distinct().withColumn("g", pairs(c))
+        return g.select(c, F.length(c).alias(n), (F.length(c) + 1 - F.size("g")).alias(k), F.explode("g").alias("g"))
+
+    # of la + lb characters m match in blocks and the other u do not; u + 1 blocks at most keep m - u - 1 pairs whole,
+    # less the pairs that a name repeats
+    both = F.col("la") + F.col("lb")
+    met = side(names, "name", "la", "ra").join(side(ref, "cand", "lb", "rb"), "g").where(2 * F.least("la", "lb") >= cutoff * both)
+    shared = met.groupBy("name", "cand", "la", "lb", "ra", "rb").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where(F.col("shared") >= F.ceil(cutoff * both / 2) - F.floor((1 - cutoff) * both) - 1 - F.col("ra") - F.col("rb")).select("name", "cand")
 
 
 def cascade(names: DataFrame, ref: DataFrame, threshold: float = 0.8, top: int = 5) -> DataFrame:
