@@ -79,6 +79,22 @@ def test_roll_over_equals_recurrence(spark):
     assert adj == [1430, 1450, 1439, 1445]
 
 
+def test_unknown_times_are_stepped_over(spark):
+    df = spark.createDataFrame([("t", i, m) for i, m in enumerate([1430, None, 10, None])], "trip_id string, seq int, m int")
+    assert [r["rolled"] for r in sequence.roll_over(df).orderBy("seq").collect()] == [1430, None, 1450, None]
+    assert sequence.monotonic(df, value="m").first()["largest_fall"] == 1420
+    assert spark.createDataFrame([([1430, None, 10],)], "a array<int>").select(sequence.roll_over_adjusted(F.col("a"))).first()[0] == [1430, None, 1450]
+
+
+def test_visits_keep_every_position(spark, sf):
+    from tramline.plans.base import visits
+
+    raw = spark.read.parquet(f"{sf}/stop_times.parquet").where("coalesce(trip_id, '') <> '' and stop_sequence is not null")
+    got = visits(spark, sf)
+    assert got.count() == raw.select("trip_id", "stop_sequence").distinct().count()
+    assert got.where("arr is null").count() and got.where("arr is not null and a not rlike '^[0-9]{2}:[0-9]{2}:[0-9]{2}$'").count() == 0
+
+
 def test_interpolation_by_index(spark):
     rows = [("t", i, s, la, la) for i, (s, la) in enumerate([("a", 33.0), ("b", None), ("c", None), ("d", 36.0), ("e", None)])]
     df = spark.createDataFrame(rows, "trip_id string, seq int, stop_id string, lat double, lon double")

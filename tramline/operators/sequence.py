@@ -17,6 +17,11 @@ def _w(key: str | list[str], order: str | list[str]):
     return W.partitionBy(*keys).orderBy(*orders)
 
 
+def known(c: str, w, ahead: bool = False) -> Column:
+    """The nearest value before (or ahead) that is not null."""
+    return F.first(c, True).over(w.rowsBetween(1, W.unboundedFollowing)) if ahead else F.last(c, True).over(w.rowsBetween(W.unboundedPreceding, -1))
+
+
 def segments(df: DataFrame, key: str = "trip_id", order: str = "seq") -> DataFrame:
     """Adjacent rows paired: from_*, to_* names and positions, metres (null if a position is missing) and secs from departure to arrival."""
     w = _w(key, order)
@@ -53,16 +58,17 @@ def collapse(df: DataFrame, key: str, order: str, values: list[str], out: str =
 
 
 def roll_over(df: DataFrame, key: str = "trip_id", order: str = "seq", minute: str = "m", window: int = 180, out: str = "rolled") -> DataFrame:
-    """Minutes with 24 hours added from each step back on whose gap over midnight is at most ``window``."""
+    """Minutes with 24 hours added from each step back on whose gap over midnight is at most ``window``; unknown minutes stay null and are stepped over."""
     w = _w(key, order)
-    t, p = F.col(minute), F.lag(minute).over(w)
+    t, p = F.col(minute), known(minute, w)
     jump = F.coalesce(((t < p) & (t + 1440 - p <= window)).cast("int"), F.lit(0))
     return df.withColumn("__jump", jump).withColumn(out, t + 1440 * F.sum("__jump").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__jump")
 
 
 def roll_over_adjusted(times: Column, window: int = 180) -> Column:
     """The roll-over that compares with the adjusted time before, over an array of minutes."""
-    step = lambda acc, t: F.concat(acc, F.array(F.when((F.size(acc) > 0) & (t < F.element_at(acc, -1)) & (t + 1440 - F.element_at(acc, -1) <= window), t + 1440).otherwise(t)))
+    before = lambda acc: F.try_element_at(F.filter(acc, lambda x: x.isNotNull()), F.lit(-1))
+    step = lambda acc, t: F.concat(acc, F.array(F.when((t < before(acc)) & (t + 1440 - before(acc) <= window), t + 1440).otherwise(t)))
     return F.aggregate(times, F.slice(times, 1, 0), step)
 
 
@@ -75,7 +81,7 @@ def islands(df: DataFrame, key: str, order: str, value: str, gap: float, out: st
 def monotonic(df: DataFrame, key: str = "trip_id", order: str = "seq", value: str = "arr") -> DataFrame:
     """Per sequence: whether values never fall, and the largest fall (null if there is no pair)."""
     w = _w(key, order)
-    step = df.withColumn("__fall", F.lag(value).over(w) - F.col(value))
+    step = df.withColumn("__fall", known(value, w) - F.col(value))
     return step.groupBy(key).agg(F.coalesce(F.max("__fall") <= 0, F.lit(True)).alias("monotonic"), F.max("__fall").alias("largest_fall"))
 
 
@@ -136,7 +142,7 @@ def anomalies(df: DataFrame, group: str, trip: str, order: str, name: str, minut
     """
     w = _w([group, trip], order)
     c = df.select(group, trip, order, name, minute).withColumn("pn", F.lag(name).over(w)).withColumn("pm", F.lag(minute).over(w)).withColumn("nn", F.lead(name).over(w)).withColumn("nm", F.lead(minute).over(w))
-    pair = c.where("pn is not null").groupBy(group, F.col("pn").alias("x"), F.col(name).alias("y")).agg(F.median(F.col(minute) - F.col("pm")).alias("med"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).drop("n")
+    pair = c.where("pn is not null").groupBy(group, F.col("pn").alias("x"), F.col(name).alias("y")).agg(F.median(F.col(minute) - F.col("pm")).alias("med"), F.count(F.col(minute) - F.col("pm")).alias("n")).where(F.col("n") >= least).drop("n")
     before = pair.select(group, F.col("x").alias("pn"), F.col("y").alias(name), F.col("med").alias("mb"))
     after = pair.select(group, F.col("x").alias(name), F.col("y").alias("nn"), F.col("med").alias("ma"))
     c = c.join(before, [group, "pn", name], "left").join(after, [group, name, "nn"], "left")
@@ -149,9 +155,9 @@ def anomalies(df: DataFrame, group: str, trip: str, order: str, name: str, minut
     return c.select(group, trip, order, name, minute, back.alias("backward"), level.alias("level"), F.when(ok, mid).alias("suggestion")).where("level is not null")
 
 
-def chain_conflicts(df: DataFrame, chain: str, start: str, end: str, origin: str, terminal: str, ident: str) -> DataFrame:
-    """Neighbours in a vehicle's chain: error where the next departs before this arrives, warning where the places differ."""
-    w = _w(chain, [start, ident])
+def chain_conflicts(df: DataFrame, chain: str, start: str, end: str, origin: str, terminal: str, ident: str, order: str | None = None) -> DataFrame:
+    """Neighbours in a vehicle's chain: error where the next departs before this arrives, warning where the places differ; in the order of ``order``, or else of the starts."""
+    w = _w(chain, [order or start, ident])
     n = df.withColumn("next_id", F.lead(ident).over(w)).withColumn("ns", F.lead(start).over(w)).withColumn("no", F.lead(origin).over(w)).where("next_id is not null")
     verdict = F.when(F.col("ns") < F.col(end), "overlap").when(F.col("no") != F.col(terminal), "moved")
     return n.select(chain, F.col(ident).alias("this_id"), "next_id", verdict.alias("verdict")).where("verdict is not null")
@@ -165,6 +171,6 @@ def link_candidates(trips: DataFrame, ident: str, origin: str, terminal: str, de
 
 
 def first_last(df: DataFrame, key: str = "trip_id", order: str = "seq") -> DataFrame:
-    """One row a sequence: first and last stop and time, number of rows, and whether it is a loop."""
-    f = df.groupBy(key).agg(F.min_by("stop_id", order).alias("origin"), F.max_by("stop_id", order).alias("terminal"), F.min_by("dep", order).alias("start"), F.max_by("arr", order).alias("end"), F.count(F.lit(1)).alias("n"))
+    """One row a sequence: first and last stop and time (null where that is unknown), earliest known departure, number of rows, and whether it is a loop."""
+    f = df.groupBy(key).agg(F.min_by("stop_id", order).alias("origin"), F.max_by("stop_id", order).alias("terminal"), F.min_by("dep", order).alias("start"), F.max_by("arr", order).alias("end"), F.min("dep").alias("first_dep"), F.count(F.lit(1)).alias("n"))
     return f.withColumn("loop", (F.col("origin") == F.col("terminal")) & (F.col("n") > 1))

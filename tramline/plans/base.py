@@ -45,10 +45,13 @@ places as (select stop_id, min(feed_id) feed_id, coalesce(max(stop_name), '') "n
 
 
 def visits(spark: SparkSession, d: str) -> DataFrame:
-    """One row a trip and position with plain times: feed_id, trip_id, seq, stop_id, name, lat, lon, arr, dep (seconds), a (text); the latest row counts."""
-    t = table(spark, d, "stop_times").where(F.col("arrival_time").rlike(HMS) & F.col("departure_time").rlike(HMS) & (F.coalesce("trip_id", F.lit("")) != "") & F.col("stop_sequence").isNotNull())
+    """One row a trip and position: feed_id, trip_id, seq, stop_id, name, lat, lon, arr, dep (seconds, null where the value is no clock time), a (text, as HH:MM:SS if it is one); the latest row counts.
+
+    No row goes for its times: VISITS, the SQL twin, still leaves out trips' rows without two plain HH:MM:SS times.
+    """
+    t = table(spark, d, "stop_times").where((F.coalesce("trip_id", F.lit("")) != "") & F.col("stop_sequence").isNotNull())
     last = t.withColumn("rn", F.row_number().over(W.partitionBy("trip_id", "stop_sequence").orderBy(F.desc("row_id")))).where("rn = 1")
-    cols = last.select("feed_id", "trip_id", F.col("stop_sequence").alias("seq"), "stop_id", clock.seconds(F.col("arrival_time")).alias("arr"), clock.seconds(F.col("departure_time")).alias("dep"), F.col("arrival_time").alias("a"))
+    cols = last.select("feed_id", "trip_id", F.col("stop_sequence").alias("seq"), "stop_id", clock.seconds(F.col("arrival_time")).alias("arr"), clock.seconds(F.col("departure_time")).alias("dep"), clock.normal(F.col("arrival_time")).alias("a"))
     return cols.join(places(spark, d).drop("feed_id"), "stop_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType
 
-from ..functions import geo, text
+from ..functions import clock, geo, text
 from ..operators import matching as M
 from ..operators import sequence as S
 from ..runtime import table
@@ -154,7 +154,7 @@ def jn07(s, d):
 @R.add("jn12_verify_extract", f"with {VISITS} select a.trip_id, a.seq, a.a time_a, c.arrival_time time_b from visits a join stop_times_copy c on c.trip_id = a.trip_id and c.stop_sequence = a.seq where a.a <> c.arrival_time")
 def jn12(s, d):
     c = table(s, d, "stop_times_copy").select("trip_id", F.col("stop_sequence").alias("seq"), F.col("arrival_time").alias("time_b"))
-    return visits(s, d).join(c, ["trip_id", "seq"]).where("a <> time_b").select("trip_id", "seq", F.col("a").alias("time_a"), "time_b")
+    return visits(s, d).join(c, ["trip_id", "seq"]).where(F.col("a") != clock.normal(F.col("time_b"))).select("trip_id", "seq", F.col("a").alias("time_a"), "time_b")
 
 
 @R.add("jn15_close_matches")
@@ -235,7 +235,7 @@ def win10(s, d):
     v = visits(s, d).select(F.regexp_extract("trip_id", "^(.*)_[0-9]+$", 1).alias("grp"), "trip_id", "seq", "stop_id", (F.col("arr") / 60).alias("m"))
     w = W.partitionBy("grp", "trip_id").orderBy("seq")
     c = v.withColumn("pn", F.lag("stop_id").over(w)).withColumn("pm", F.lag("m").over(w)).withColumn("nn", F.lead("stop_id").over(w)).withColumn("nm", F.lead("m").over(w))
-    med = c.where("pn is not null").groupBy("grp", F.col("pn").alias("x"), F.col("stop_id").alias("y")).agg(F.median(F.col("m") - F.col("pm")).alias("med"), F.count(F.lit(1)).alias("k")).where("k >= 2").drop("k")
+    med = c.where("pn is not null").groupBy("grp", F.col("pn").alias("x"), F.col("stop_id").alias("y")).agg(F.median(F.col("m") - F.col("pm")).alias("med"), F.count(F.col("m") - F.col("pm")).alias("k")).where("k >= 2").drop("k")
     j = c.join(med.select("grp", F.col("x").alias("pn"), F.col("y").alias("stop_id"), F.col("med").alias("mb")), ["grp", "pn", "stop_id"], "left").join(med.select("grp", F.col("x").alias("stop_id"), F.col("y").alias("nn"), F.col("med").alias("ma")), ["grp", "stop_id", "nn"], "left")
     e1, e2 = F.col("pm") + F.col("mb"), F.col("nm") - F.col("ma")
     return j.select("trip_id", "seq", F.round(e1, 4).alias("e1"), F.round(e2, 4).alias("e2"), F.coalesce(F.abs(e1 - e2) <= 3, F.lit(False)).alias("ok")).where("e1 is not null or e2 is not null")

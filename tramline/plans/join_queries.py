@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import clock, text
 from ..operators import matching as M
 from ..operators.spatial import sphere_m
 from ..runtime import table
@@ -102,8 +102,8 @@ na as (select trip_id, row_number() over (partition by trip_id order by seq) - 1
 
 
 def _copy_visits(s, d):
-    t = table(s, d, "stop_times_copy").where(F.col("arrival_time").rlike(HMS) & (F.coalesce("trip_id", F.lit("")) != "") & F.col("stop_sequence").isNotNull())
-    t = M.first_by(t, ["trip_id", "stop_sequence"], F.desc("row_id")).select("trip_id", F.col("stop_sequence").alias("seq"), "stop_id", F.col("arrival_time").alias("a"))
+    t = table(s, d, "stop_times_copy").where((F.coalesce("trip_id", F.lit("")) != "") & F.col("stop_sequence").isNotNull())
+    t = M.first_by(t, ["trip_id", "stop_sequence"], F.desc("row_id")).select("trip_id", F.col("stop_sequence").alias("seq"), "stop_id", clock.normal(F.col("arrival_time")).alias("a"))
     return t.join(places(s, d).select("stop_id", "name"), "stop_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
 
 
@@ -188,7 +188,7 @@ def flt20(s, d):
 @R.add("agg01_trip_sequences", f"""with {VISITS} select trip_id, string_agg(seq || ':' || "name" || '@' || a, '>' order by seq) line from visits group by 1""")
 def agg01(s, d):
     v = M.signatures(visits(s, d))
-    return v.select("trip_id", F.array_join(F.transform("rows", lambda r: F.concat(r["seq"].cast("string"), F.lit(":"), r["n"], F.lit("@"), r["t"])), ">").alias("line"))
+    return v.select("trip_id", F.array_join(F.transform("rows", lambda r: F.concat(r["seq"].cast("string"), F.lit(":"), r["n"], F.lit("@"), F.coalesce(r["t"], F.lit("")))), ">").alias("line"))
 
 
 @R.add("agg02_stop_patterns", f"""with {VISITS}, p as (select trip_id, string_agg(stop_id, '|' order by seq) k from visits where stop_id is not null group by 1) select k, left(sha1(k), 8) short_hash, count(*) n, min(trip_id) first_trip from p group by 1""")

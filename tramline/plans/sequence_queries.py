@@ -72,7 +72,7 @@ def win08(s, d):
 @R.add("win09_backward_steps", f"with {VISITS}, x as (select trip_id, seq, arr, lag(arr) over w p, lead(arr) over w n from visits window w as (partition by trip_id order by seq)) select trip_id, seq, arr from x where arr < p or arr > n")
 def win09(s, d):
     w = W.partitionBy("trip_id").orderBy("seq")
-    v = visits(s, d).select("trip_id", "seq", "arr", F.lag("arr").over(w).alias("p"), F.lead("arr").over(w).alias("n"))
+    v = visits(s, d).select("trip_id", "seq", "arr", S.known("arr", w).alias("p"), S.known("arr", w, ahead=True).alias("n"))
     return v.where("arr < p or arr > n").select("trip_id", "seq", "arr")
 
 
@@ -98,7 +98,7 @@ def dom14(s, d):
 def agg11(s, d):
     w = W.partitionBy("grp", "trip_id").orderBy("seq")
     v = visits(s, d).select(F.regexp_extract("trip_id", "^(.*)_[0-9]+$", 1).alias("grp"), "trip_id", "seq", "stop_id", (F.col("arr") / 60).alias("m")).withColumn("a", F.lag("stop_id").over(w)).withColumn("i", F.col("m") - F.lag("m").over(w))
-    return v.where("a is not null").groupBy("grp", "a", F.col("stop_id").alias("b")).agg(F.round(F.median("i"), 4).alias("med"), F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    return v.where("a is not null").groupBy("grp", "a", F.col("stop_id").alias("b")).agg(F.round(F.median("i"), 4).alias("med"), F.count("i").alias("n")).where("n >= 2").drop("n")
 
 
 _INTER = f"""{VISITS}, k as (select *, row_number() over (partition by trip_id order by seq) k from visits),
@@ -176,13 +176,14 @@ def win20(s, d):
     from ..runtime import table
 
     b = table(s, d, "trips").where("block_id is not null").groupBy("trip_id").agg(F.max("block_id").alias("block_id"))
-    return S.chain_conflicts(_trips(s, d).join(b, "trip_id"), "block_id", "start", "end", "origin", "terminal", "trip_id")
+    t = _trips(s, d).withColumn("at", F.coalesce("start", "first_dep")).where("at is not null")  # a trip without any time has no place in a chain
+    return S.chain_conflicts(t.join(b, "trip_id"), "block_id", "start", "end", "origin", "terminal", "trip_id", "at")
 
 
 @R.add("win16_gap_clusters", f"""with {VISITS}, x as (select stop_id, arr, trip_id, seq, case when arr - lag(arr) over w > 3600 then 1 else 0 end nw from visits where stop_id is not null window w as (partition by stop_id order by arr, trip_id, seq)),
 y as (select stop_id, arr, cast(sum(nw) over (partition by stop_id order by arr, trip_id, seq rows unbounded preceding) as bigint) island from x) select stop_id, island, count(*) n, min(arr) lo, max(arr) hi, round(avg(arr), 2) mean from y group by 1, 2""")
 def win16(s, d):
-    v = visits(s, d).where("stop_id is not null").withColumn("ord", F.struct("trip_id", "seq"))
+    v = visits(s, d).where("stop_id is not null and arr is not null").withColumn("ord", F.struct("trip_id", "seq"))
     return S.islands(v, "stop_id", "ord", "arr", 3600).groupBy("stop_id", "island").agg(F.count(F.lit(1)).alias("n"), F.min("arr").alias("lo"), F.max("arr").alias("hi"), F.round(F.avg("arr"), 2).alias("mean"))
 
 
@@ -194,7 +195,7 @@ def win21(s, d):
 @R.add("win27_issue_counts", f"""with {VISITS}, x as (select feed_id, trip_id, arr, lag(arr) over (partition by trip_id order by seq) p from visits) select feed_id, count(*) filter (where arr < p) reversals, count(*) filter (where arr >= 86400) next_day, count(*) n from x group by 1""")
 def win27(s, d):
     w = W.partitionBy("trip_id").orderBy("seq")
-    v = visits(s, d).withColumn("p", F.lag("arr").over(w))
+    v = visits(s, d).withColumn("p", S.known("arr", w))
     return v.groupBy("feed_id").agg(F.count_if(F.col("arr") < F.col("p")).alias("reversals"), F.count_if(F.col("arr") >= 86400).alias("next_day"), F.count(F.lit(1)).alias("n"))
 
 

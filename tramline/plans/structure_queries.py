@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo, text
+from ..functions import clock, geo, text
 from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import sequence as S
@@ -40,7 +40,7 @@ _HOUR = 'cast(substr("time", 1, 2) as int) % 24'
 @R.add("col03_pivot_grid", f"""with {_CELLS} select block, "name", {', '.join(f'min("time") filter (where {_HOUR} = {i}) h{i}' for i in range(24))} from cells group by 1, 2""")
 def col03(s, d):
     """Stops by hours: each stop's first time in every hour of the day."""
-    c = T.cells(docs(s, d)).withColumn("hour", F.left("time", F.lit(2)).cast("int") % 24)
+    c = T.cells(docs(s, d)).withColumn("hour", F.floor(clock.seconds(F.col("time")) / 3600) % 24)
     return c.groupBy("block", "name").pivot("hour", list(range(24))).agg(F.min("time")).toDF("block", "name", *[f"h{i}" for i in range(24)])
 
 
@@ -451,7 +451,8 @@ def agg24(s, d):
 
 @R.add("udx04_block_summary", f'with {_CELLS} select block, count(distinct trip_id) trips, count(*) cells, min("time") first_time, max("time") last_time from cells group by 1')
 def udx04(s, d):
-    return T.cells(docs(s, d)).groupBy("block").agg(F.countDistinct("trip_id").alias("trips"), F.count(F.lit(1)).alias("cells"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
+    t = F.when(clock.seconds(F.col("time")).isNotNull(), F.col("time"))
+    return T.cells(docs(s, d)).groupBy("block").agg(F.countDistinct("trip_id").alias("trips"), F.count(F.lit(1)).alias("cells"), F.min(t).alias("first_time"), F.max(t).alias("last_time"))
 
 
 QUERIES, SQL = R.queries, R.sql
