@@ -74,6 +74,19 @@ def test_alignment_scores_edited_copies():
     assert whole == 2 * len(p) and good > 1.6 * len(p) and bad < 80
 
 
+@pytest.mark.parametrize("step", [12, 20, 25, 40])
+def test_evenly_edited_copies_are_scored(spark, step):
+    rng = random.Random(step)
+    items = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(183))) for i in range(20)]
+    edit = lambda t: "".join("9" if k % step == step - 1 else c for k, c in enumerate(t))
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300))
+    docs = [(i, noise() + edit(t) + noise()) for i, t in items]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, text string"), "doc", "text", "item", "text").collect()
+    # brute force: every edited letter costs a mismatch instead of a match
+    assert {(r["doc"], r["item"], r["longest_run"]) for r in got} == {(i, i, step - 1) for i, _ in items}
+    assert all(r["score"] >= 2 * (183 - 183 // step) - 2 * (183 // step) for r in got)
+
+
 def test_window_hashes_agree_for_equal_windows():
     x = np.array([1, 2, 3, 4, 5] * 3, np.uint32)
     for w in (1, 3, 5, 7):

@@ -50,17 +50,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_confidence(spark, d).where("confidence >= 0.5").select("stop_id", "survey_id")
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+def _leaks(spark: SparkSession, d: str, align: bool) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text", align=align)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+    return _leaks(spark, d, False).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Documents with whole, partial or edited passages: longest shared run and alignment score."""
-    return _leaks(spark, d)
+    return _leaks(spark, d, True)
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
