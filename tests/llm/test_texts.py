@@ -20,6 +20,12 @@ def test_rewrite_longest_first_and_unseen_gone():
     assert lookalike.rewrite("​ 　", a) == ""
 
 
+def test_the_usual_writing_represents_its_class(spark):
+    names = ["車庫"] * 5 + ["⾞庫"] + ["ö"] * 3 + ["o\u0308"] + ["5キロ"] * 2 + ["5㌔"]
+    m = lookalike.learn(spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    assert m["⾞"] == "車" and m["o\u0308"] == "ö" and "車" not in m and "ö" not in m and m["㌔"] == "キロ"
+
+
 NAMES = "feed string, k string, name string, feed_extra string"
 
 

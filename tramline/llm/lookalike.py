@@ -127,6 +127,24 @@ def cluster_counts(texts: DataFrame, column: str) -> DataFrame:
     return texts.select(column).mapInPandas(count, "cluster string, n long").groupBy("cluster").agg(F.sum("n").alias("n"))
 
 
+def form_counts(texts: DataFrame, column: str, forms: list[str]) -> DataFrame:
+    """(form, n) over a column: forms of one cluster where that stands as a cluster, longer ones as strings, longest first."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = {f for f in forms if _CLUSTER.fullmatch(f)}
+        a = automaton({f: f for f in forms if f not in one})
+        for pdf in batches:
+            c: Counter[str] = Counter()
+            for t in pdf[column]:
+                if t is not None:
+                    t = clean(t)
+                    c.update(x for x in _CLUSTER.findall(t) if x in one)
+                    c.update(rep for _, (_, rep) in a.iter_long(t)) if a else None
+            yield pd.DataFrame({"form": list(c), "n": list(c.values())}).astype({"form": "str", "n": "int64"})
+
+    return texts.select(column).mapInPandas(count, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
+
+
 def look_udf(mapping: dict[str, str]):
     """Column function: the consistent form of a text; null stays null."""
 
@@ -160,7 +178,9 @@ def learn(texts: DataFrame, column: str) -> dict[str, str]:
     kept = rows.orderBy(F.desc("n"), "cluster").limit(MOST_CLUSTERS).collect()
     counts = {r["cluster"]: r["n"] for r in kept}
     # the plain forms of what was seen count too, so that the usual writing represents a class
-    forms = sorted({unicodedata.normalize("NFKC", c) for c in counts} - set(counts))
+    forms = sorted({clean(unicodedata.normalize("NFKC", c)) for c in counts} - set(counts) - {""})
+    if forms:
+        counts.update({r["form"]: r["n"] for r in form_counts(texts, column, forms).collect()})
     return classes({**{f: 0 for f in forms}, **counts})
 
 
