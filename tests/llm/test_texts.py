@@ -117,6 +117,15 @@ def test_prose_and_junk(spark, text, kind):
     assert r["prose"] is kind, r
 
 
+def test_repeated_fragments_fill_a_text(spark):
+    terms = spark.read.parquet("/root/testdata/sf0.001/common_terms.parquet")
+    line = PROSE.split("。")[0]
+    texts = ["新茅布川工業団地 " * 30, "stop desk " * 40, (line + "\n") * 12, PROSE, ENGLISH, ""]
+    got = prose.statistics(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "i", "t", terms).withColumn("prose", prose.is_prose()).orderBy("i").collect()
+    assert all(r["top_fragment"] > 0.9 and not r["prose"] for r in got[:3])
+    assert all(r["top_fragment"] < 0.3 and r["prose"] for r in got[3:5]) and got[5]["top_fragment"] == 0
+
+
 def test_statistics_edges(spark):
     terms = spark.createDataFrame([("en", "the"), ("ja", "です"), (None, None)], "lang string, term string")
     rows = [(1, None), (2, ""), (3, " \n　"), (None, "the"), (4, "the the x"), (4, "the the x"), (5, "a" * 300_000), (6, "\x00\x00")]

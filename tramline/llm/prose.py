@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfkc
+from .leakage import window_hashes
 
 # classes of code points
 OTHER, SPACE, NEWLINE, DIGIT, LATIN, HIRAGANA, KATAKANA, HAN, END = range(9)
@@ -29,6 +30,10 @@ STATISTICS = {
     "common_words": "double", "particle_share": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double", "top_fragment": "double", "prose_share": "double",
 }
 
+#: Lengths of the n-grams whose dominance is measured.
+CHARACTERS = (4, 8, 16, 32, 64, 128, 256)
+WORDS = (1, 2, 3, 4)
+
 _TABLES: list[np.ndarray] = []
 
 
@@ -147,13 +152,74 @@ def measure(texts: list[str], terms: Terms) -> pd.DataFrame:
     read_ja, read_words = g(hira), g(words)
     div = lambda a, b: np.divide(a, b, out=np.zeros(len(texts)), where=b > 0)
     repeats = [_repetition(t) for t in texts]
+    top = np.maximum([r[2] for r in repeats], dominant(raw, kind, doc_ends)) if texts else np.zeros(0)
     return pd.DataFrame({
         "n_chars": n.astype(np.int64), "n_words": (n_words + by_doc(ja)).astype(np.int64), "mean_word_length": div(by_doc(word_chars), n_words), "symbol_ratio": div(n - by_doc(letters) - by_doc(digits), n),
         "digit_ratio": div(by_doc(digits), n), "closed_lines": div(by_doc(closed), lines), "common_words": div(g(common), read_words), "particle_share": div(g(particles), read_ja),
-        "duplicate_lines": [r[0] for r in repeats], "duplicate_paragraphs": [r[1] for r in repeats], "top_fragment": [r[2] for r in repeats], "prose_share": div(by_doc(good), n),
+        "duplicate_lines": [r[0] for r in repeats], "duplicate_paragraphs": [r[1] for r in repeats], "top_fragment": top, "prose_share": div(by_doc(good), n),
     })
 
 
+def _covered(codes: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, docs: int) -> np.ndarray:
+    """Weight of the units under the most frequent run of ``n`` units of each document, if it comes more than twice."""
+    count = len(codes) - n + 1
+    if count <= 0:
+        return np.zeros(docs)
+    at = np.flatnonzero(doc[:count] == doc[n - 1 :])
+    if not len(at):
+        return np.zeros(docs)
+    d = doc[at]
+    key = (d.astype(np.uint64) << np.uint64(44)) | (window_hashes(codes, n)[at] >> np.uint64(20))
+    order = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+    times = np.diff(np.append(first, len(order)))
+    of = (order[first] >> np.uint64(44)).astype(np.int64)
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
+    most = np.maximum.reduceat(times, edge)
+    lead = np.flatnonzero((times == np.repeat(most, np.diff(np.append(edge, len(of))))) & (times > 2))
+    lead = lead[np.unique(of[lead], return_index=True)[1]]
+    if not len(lead):
+        return np.zeros(docs)
+    best = np.zeros(docs, np.uint64)
+    has = np.zeros(docs, bool)
+    best[of[lead]], has[of[lead]] = order[first[lead]], True
+    hit = at[has[d] & (key == best[d])]
+    mark = np.zeros(len(codes) + 1, np.int32)
+    mark[hit] += 1
+    mark[hit + n] -= 1
+    return np.bincount(doc, np.where(np.cumsum(mark[:-1]) > 0, weight, 0), docs)
+
+
+def dominant(raw: np.ndarray, kind: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
+    """Share of each text's characters under its most frequent n-gram of characters or of words, the largest of all lengths.
+
+    Runs of blanks and line ends are one blank, which parts words; a fragment repeated without end is covered whole by
+    n-grams longer than itself.
+    """
+    docs = len(doc_ends)
+    doc = np.searchsorted(doc_ends, np.arange(len(raw)), "left")
+    blank = (kind == SPACE) | (kind == NEWLINE)
+    keep = ~blank | np.concatenate([[True], ~blank[:-1]])[: len(blank)]
+    codes, doc, blank = np.where(blank, 32, raw)[keep].astype(np.uint32), doc[keep], blank[keep]
+    weight = (~blank).astype(np.int64)
+    total = np.bincount(doc, weight, docs)
+    best = np.zeros(docs)
+    for n in CHARACTERS:
+        best = np.maximum(best, _covered(codes, doc, weight, n, docs))
+    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1] | (np.diff(doc) != 0)])[: len(blank)])
+    if len(start):
+        end = np.flatnonzero(~blank & np.concatenate([blank[1:] | (np.diff(doc) != 0), [True]]))
+        place = np.arange(len(codes)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(codes)]])))
+        with np.errstate(over="ignore"):
+            mixed = (codes.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+        words = np.add.reduceat(np.where(blank, np.uint64(0), mixed), start)
+        for n in WORDS:
+            best = np.maximum(best, _covered(words, doc[start], end - start + 1, n, docs))
+    return np.divide(best, total, out=np.zeros(docs), where=total > 0)
+
+
 def _repetition(text: str) -> tuple[float, float, float]:
     """Shares of characters in repeated lines, in repeated paragraphs, and in the dominant sentence where it occurs more than twice."""
     out = []
@@ -198,6 +264,6 @@ def statistics(df: DataFrame, doc_id: str, text: str, terms: DataFrame, term: st
 
 def is_prose() -> Column:
     """Combined rules over the STATISTICS: most characters stand in lines that read as prose, the reading lines as a whole
-    have a language's share of frequent words or particles, and no fragment fills the text."""
+    have a language's share of frequent words or particles, and no fragment, repeated lines or repeated paragraphs fill the text."""
     read = (F.col("common_words") >= 0.15) | (F.col("particle_share") >= 0.09)
-    return (F.col("prose_share") >= 0.5) & read & (F.col("top_fragment") < 0.5)
+    return (F.col("prose_share") >= 0.5) & read & (F.col("top_fragment") < 0.5) & (F.col("duplicate_lines") <= 0.5) & (F.col("duplicate_paragraphs") <= 0.5)
