@@ -57,6 +57,20 @@ def test_direction_compatible(spark, a, b, want):
     assert one(spark, text.compatible_direction, a, b) is want
 
 
+@pytest.mark.parametrize("value", ["\u30008:10", "\t8:10\n", "8:10\u00a0"])
+def test_blanks_of_any_width(spark, value):
+    assert one(spark, clock.normal, value) == "08:10:00" and one(spark, clock.seconds, value) == 29400
+    assert one(spark, text.route_number, "12\u3000線") == "12" and one(spark, text.without_number, "12\u00a0線") == "線" and one(spark, text.safe_file, "a\u3000b") == "a_b"
+
+
+def test_dirty_rows_stay(spark, sf):
+    q = catalog.queries()
+    raw = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    assert q["tim01_normal_time"](spark, sf).count() == raw("stop_times").where("arrival_time is not null").select("arrival_time").distinct().count()
+    assert q["str11_route_keys"](spark, sf).count() == raw("routes").where("route_long_name is not null").count()
+    assert q["src19_cell_grid"](spark, sf).count() == raw("documents").where("contains(text, ',')").count()
+
+
 def _fold(times, window=180):
     out, add = [], 0
     for i, t in enumerate(times):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HMS = r"^\s*([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?\s*$"
+#: Inside of a character class: blanks of any width.
+BLANK = r"\s\u00a0\u2000-\u200a\u202f\u205f\u3000"
+_HMS = rf"^[{BLANK}]*([0-9]{{1,2}}):([0-9]{{1,2}})(?::([0-9]{{1,2}}))?[{BLANK}]*$"
 
 
 def _part(c: Column, i: int) -> Column:

@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .clock import BLANK
+
 
 def nfkc(text: str) -> str:
     """NFKC form; the check first, as most text is in it already."""
@@ -31,12 +33,12 @@ def has_kanji(c: Column) -> Column:
 
 def route_number(c: Column) -> Column:
     """Leading digits before a blank; empty if there are none."""
-    return F.regexp_extract(c, r"^([0-9]+)\s+", 1)
+    return F.regexp_extract(c, rf"^([0-9]+)[{BLANK}]+", 1)
 
 
 def without_number(c: Column) -> Column:
     """A route name without its leading number."""
-    return F.regexp_replace(c, r"^[0-9]+\s+", "")
+    return F.regexp_replace(c, rf"^[0-9]+[{BLANK}]+", "")
 
 
 def route_key(short: Column, long: Column) -> Column:
@@ -71,7 +73,7 @@ def short_hash(c: Column) -> Column:
 
 def safe_file(c: Column) -> Column:
     """A text usable as a file name."""
-    return F.regexp_replace(c, r'[\\/:*?"<>|\s]+', "_")
+    return F.regexp_replace(c, rf'[\\/:*?"<>|{BLANK}]+', "_")
 
 
 def column_index(c: Column) -> Column:

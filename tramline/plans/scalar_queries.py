@@ -17,7 +17,7 @@ _T = "t as (select distinct arrival_time v from stop_times where not regexp_matc
 
 
 def _times(s, d):
-    return table(s, d, "stop_times").select(F.col("arrival_time").alias("v")).where("v is not null").where(~F.col("v").rlike("[\\t\\n\\u3000\\u00a0]")).distinct()
+    return table(s, d, "stop_times").select(F.col("arrival_time").alias("v")).where("v is not null").distinct()
 
 
 @R.add("tim01_normal_time", f"with {_T} select v, {_N('v')} t from t")
@@ -363,7 +363,7 @@ def str08(s, d):
 @R.add("str11_route_keys", "select route_id, regexp_extract(route_long_name, '^([0-9]+)\\s+', 1) num, regexp_replace(route_long_name, '^[0-9]+\\s+', '') rest from routes where route_long_name is not null and not regexp_matches(route_long_name, '[\\x{2000}-\\x{200f}\\x{3000}\\x{a0}\\x{202f}]')")
 def str11(s, d):
     n = F.col("route_long_name")
-    return table(s, d, "routes").where(n.isNotNull() & ~n.rlike("[\\u2000-\\u200f\\u3000\\u00a0\\u202f]")).select("route_id", text.route_number(n).alias("num"), text.without_number(n).alias("rest"))
+    return table(s, d, "routes").where(n.isNotNull()).select("route_id", text.route_number(n).alias("num"), text.without_number(n).alias("rest"))
 
 
 STEMS = ("公民館前", "小学校", "役場前", "神社前", "温泉", "前")
@@ -415,7 +415,7 @@ def str18b(s, d):
 @R.add("str19_file_names", "select distinct route_long_name, regexp_replace(route_long_name, '[\\\\/:*?\"<>|\\s]+', '_', 'g') f from routes where route_long_name is not null and not regexp_matches(route_long_name, '[\\x{2000}-\\x{200f}\\x{3000}\\x{a0}\\x{202f}]')")
 def str19(s, d):
     n = F.col("route_long_name")
-    return table(s, d, "routes").where(n.isNotNull() & ~n.rlike("[\\u2000-\\u200f\\u3000\\u00a0\\u202f]")).select("route_long_name", text.safe_file(n).alias("f")).distinct()
+    return table(s, d, "routes").where(n.isNotNull()).select("route_long_name", text.safe_file(n).alias("f")).distinct()
 
 
 @R.add("str20_column_letters", "with l as (select distinct substr(route_color, 1, 2) c from routes where regexp_matches(route_color, '^[A-F]{2}')) select c, (ascii(substr(c, 1, 1)) - 64) * 26 + ascii(substr(c, 2, 1)) - 64 i from l")
