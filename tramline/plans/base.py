@@ -12,7 +12,9 @@ from ..functions import clock
 from ..operators.spatial import placed
 from ..runtime import table
 
-HMS = "^[0-9]{2}:[0-5][0-9]:[0-5][0-9]$"
+# Blanks of any width and clock times, in the SQL engine's regular expressions.
+BLANK = r"\x09-\x0d\x20\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}"
+HMS = rf"^[{BLANK}]*([0-9]{{1,2}}):([0-9]{{1,2}})(:([0-9]{{1,2}}))?[{BLANK}]*$"
 
 
 class Registry:
@@ -47,7 +49,7 @@ places as (select stop_id, min(feed_id) feed_id, coalesce(max(stop_name), '') "n
 def visits(spark: SparkSession, d: str) -> DataFrame:
     """One row a trip and position: feed_id, trip_id, seq, stop_id, name, lat, lon, arr, dep (seconds, null where the value is no clock time), a (text, as HH:MM:SS if it is one); the latest row counts.
 
-    No row goes for its times: VISITS, the SQL twin, still leaves out trips' rows without two plain HH:MM:SS times.
+    No row goes for its times.
     """
     t = table(spark, d, "stop_times").where((F.coalesce("trip_id", F.lit("")) != "") & F.col("stop_sequence").isNotNull())
     last = t.withColumn("rn", F.row_number().over(W.partitionBy("trip_id", "stop_sequence").orderBy(F.desc("row_id")))).where("rn = 1")
@@ -55,14 +57,24 @@ def visits(spark: SparkSession, d: str) -> DataFrame:
     return cols.join(places(spark, d).drop("feed_id"), "stop_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
 
 
-def _secs(c: str) -> str:
-    return f"(cast(substr({c}, 1, 2) as int) * 3600 + cast(substr({c}, 4, 2) as int) * 60 + cast(substr({c}, 7, 2) as int))"
+def _int(c: str, k: int) -> str:
+    return f"coalesce(try_cast(nullif(regexp_extract({c}, '{HMS}', {k}), '') as int), 0)"
+
+
+def secs(c: str) -> str:
+    """SQL of the seconds of a clock time; null if it is none."""
+    return f"case when regexp_matches({c}, '{HMS}') then {_int(c, 1)} * 3600 + {_int(c, 2)} * 60 + {_int(c, 4)} end"
+
+
+def normal(c: str) -> str:
+    """SQL of a clock time as HH:MM:SS; anything else unchanged."""
+    part = " || ':' || ".join(f"lpad(cast({_int(c, k)} as varchar), 2, '0')" for k in (1, 2, 4))
+    return f"case when regexp_matches({c}, '{HMS}') then {part} else {c} end"
 
 
 VISITS = f"""{PLACES},
-st_ as (select *, row_number() over (partition by trip_id, stop_sequence order by row_id desc) rn from stop_times where coalesce(trip_id, '') <> '' and stop_sequence is not null
-  and regexp_matches(arrival_time, '{HMS}') and regexp_matches(departure_time, '{HMS}')),
-visits as (select st_.feed_id, st_.trip_id, st_.stop_sequence seq, st_.stop_id, {_secs("arrival_time")} arr, {_secs("departure_time")} dep, arrival_time a, coalesce(p."name", '') "name", p.lat, p.lon
+st_ as (select *, row_number() over (partition by trip_id, stop_sequence order by row_id desc) rn from stop_times where coalesce(trip_id, '') <> '' and stop_sequence is not null),
+visits as (select st_.feed_id, st_.trip_id, st_.stop_sequence seq, st_.stop_id, {secs("arrival_time")} arr, {secs("departure_time")} dep, {normal("arrival_time")} a, coalesce(p."name", '') "name", p.lat, p.lon
   from st_ left join places p on p.stop_id = st_.stop_id where rn = 1)"""
 
 

@@ -12,7 +12,7 @@ from ..operators import matching as M
 from ..operators import sequence as S
 from ..runtime import table
 from ..sources import documents, feeds
-from .base import PLACES, VISITS, Registry, places, visits
+from .base import PLACES, VISITS, Registry, normal, places, visits
 from .join_queries import _COORD, _coords
 from .sequence_queries import _ANOM, _INTER, _SEG, _VERDICT
 
@@ -30,7 +30,7 @@ def src06(s, d):
     return table(s, d, "trips").select("row_id", F.coalesce(F.try_element_at(m, F.col("trip_headsign")), "trip_headsign").alias("trip_headsign"))
 
 
-@R.add("src20_grid_cells", "select doc_id, count(*) n from (select doc_id, unnest(string_split(text, chr(10))) line from documents where contains(text, ',') and not contains(text, chr(13))) where regexp_matches(line, '^[^,]+(,[0-9]{1,2}:[0-9]{2}){2,}(, *)*$') group by 1")
+@R.add("src20_grid_cells", "select doc_id, count(*) n from (select doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) line from documents where contains(text, ',')) where regexp_matches(line, '^[^,]+(,[0-9]{1,2}:[0-9]{2}){2,}(, *)*$') group by 1")
 def src20(s, d):
     g = feeds.grid(table(s, d, "documents").where(F.col("text").contains(",")), "doc_id", "text")
     rows = g.groupBy("doc_id", "row").agg(F.count_if(documents.is_time(F.col("value")) & (F.col("value") == F.trim("value"))).alias("t"), F.max("col").alias("c"), F.count(F.lit(1)).alias("k"), F.count_if((F.col("col") == 0)).alias("first"))
@@ -151,7 +151,7 @@ def jn07(s, d):
     return table(s, d, "trips").join(n, F.col("trip_headsign") == F.col("name"), "left").select("row_id", "stop_id")
 
 
-@R.add("jn12_verify_extract", f"with {VISITS} select a.trip_id, a.seq, a.a time_a, c.arrival_time time_b from visits a join stop_times_copy c on c.trip_id = a.trip_id and c.stop_sequence = a.seq where a.a <> c.arrival_time")
+@R.add("jn12_verify_extract", f"with {VISITS} select a.trip_id, a.seq, a.a time_a, c.arrival_time time_b from visits a join stop_times_copy c on c.trip_id = a.trip_id and c.stop_sequence = a.seq where a.a <> {normal('c.arrival_time')}")
 def jn12(s, d):
     c = table(s, d, "stop_times_copy").select("trip_id", F.col("stop_sequence").alias("seq"), F.col("arrival_time").alias("time_b"))
     return visits(s, d).join(c, ["trip_id", "seq"]).where(F.col("a") != clock.normal(F.col("time_b"))).select("trip_id", "seq", F.col("a").alias("time_a"), "time_b")

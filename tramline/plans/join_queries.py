@@ -9,7 +9,7 @@ from ..functions import clock, text
 from ..operators import matching as M
 from ..operators.spatial import sphere_m
 from ..runtime import table
-from .base import HMS, PLACES, VISITS, Registry, hav, places, visits
+from .base import PLACES, VISITS, Registry, hav, normal, places, visits
 
 R = Registry()
 _PY = """py as (select ref_name, min(ref_id) ref_id, max(ref_reading) reading from stop_reference group by 1)"""
@@ -94,9 +94,9 @@ def agg05(s, d):
     return n.drop("n").crossJoin(pick)
 
 
-_FEEDS = f"""{VISITS}, va as (select * from visits), vb as (select trip_id, stop_sequence seq, coalesce(p."name", '') "name", arrival_time a from stop_times_copy c left join places p on p.stop_id = c.stop_id where coalesce(trip_id, '') <> '' and stop_sequence is not null and regexp_matches(arrival_time, '{HMS}') qualify row_number() over (partition by trip_id, stop_sequence order by row_id desc) = 1),
-sa as (select trip_id, string_agg("name", chr(31) order by seq) sig, arg_min(a, seq) ft from va group by 1), sb as (select trip_id, string_agg("name", chr(31) order by seq) sig, arg_min(a, seq) ft from vb group by 1),
-ka as (select *, row_number() over (partition by sig order by ft, trip_id) k from sa), kb as (select *, row_number() over (partition by sig order by ft, trip_id) k from sb),
+_FEEDS = f"""{VISITS}, va as (select * from visits), vb as (select trip_id, stop_sequence seq, coalesce(p."name", '') "name", {normal("arrival_time")} a from stop_times_copy c left join places p on p.stop_id = c.stop_id where coalesce(trip_id, '') <> '' and stop_sequence is not null qualify row_number() over (partition by trip_id, stop_sequence order by row_id desc) = 1),
+sa as (select trip_id, string_agg("name", chr(31) order by seq) sig, first(a order by seq) ft from va group by 1), sb as (select trip_id, string_agg("name", chr(31) order by seq) sig, first(a order by seq) ft from vb group by 1),
+ka as (select *, row_number() over (partition by sig order by ft nulls first, trip_id) k from sa), kb as (select *, row_number() over (partition by sig order by ft nulls first, trip_id) k from sb),
 pairs as (select ka.trip_id ours, kb.trip_id theirs from ka full join kb on ka.sig = kb.sig and ka.k = kb.k),
 na as (select trip_id, row_number() over (partition by trip_id order by seq) - 1 pos, "name", a from va), nb as (select trip_id, row_number() over (partition by trip_id order by seq) - 1 pos, a from vb)"""
 
@@ -116,12 +116,12 @@ def jn10(s, d):
     return aligned(s, d).select("ours", "theirs")
 
 
-@R.add("jn11_compare_aligned", f"""with {_FEEDS} select ours, theirs, na.pos, na."name", na.a time_a, nb.a time_b, na.a = nb.a same from pairs join na on na.trip_id = ours join nb on nb.trip_id = theirs and nb.pos = na.pos where ours is not null and theirs is not null""")
+@R.add("jn11_compare_aligned", f"""with {_FEEDS} select ours, theirs, na.pos, na."name", na.a time_a, nb.a time_b, na.a is not distinct from nb.a same from pairs join na on na.trip_id = ours join nb on nb.trip_id = theirs and nb.pos = na.pos where ours is not null and theirs is not null""")
 def jn11(s, d):
     return M.compare_aligned(aligned(s, d))
 
 
-@R.add("dom12_alignment_report", f"""with {_FEEDS}, r as (select na.a = nb.a same from pairs join na on na.trip_id = ours join nb on nb.trip_id = theirs and nb.pos = na.pos where ours is not null and theirs is not null)
+@R.add("dom12_alignment_report", f"""with {_FEEDS}, r as (select na.a is not distinct from nb.a same from pairs join na on na.trip_id = ours join nb on nb.trip_id = theirs and nb.pos = na.pos where ours is not null and theirs is not null)
 select (select count(*) from pairs where ours is not null and theirs is not null) matched, (select count(*) from pairs where theirs is null) only_ours, (select count(*) from pairs where ours is null) only_theirs, count(*) rows_compared, count(*) filter (where same) rows_equal from r""")
 def dom12(s, d):
     p = aligned(s, d)
@@ -185,7 +185,7 @@ def flt20(s, d):
     return table(s, d, "stop_times").join(table(s, d, "trips").where("shape_id is not null"), "trip_id", "left_semi").select("row_id")
 
 
-@R.add("agg01_trip_sequences", f"""with {VISITS} select trip_id, string_agg(seq || ':' || "name" || '@' || a, '>' order by seq) line from visits group by 1""")
+@R.add("agg01_trip_sequences", f"""with {VISITS} select trip_id, string_agg(seq || ':' || "name" || '@' || coalesce(a, ''), '>' order by seq) line from visits group by 1""")
 def agg01(s, d):
     v = M.signatures(visits(s, d))
     return v.select("trip_id", F.array_join(F.transform("rows", lambda r: F.concat(r["seq"].cast("string"), F.lit(":"), r["n"], F.lit("@"), F.coalesce(r["t"], F.lit("")))), ">").alias("line"))

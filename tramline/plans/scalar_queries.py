@@ -6,37 +6,33 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, geo, mining, text
 from ..runtime import table
-from .base import PLACES, VISITS, Registry, places, visits
+from .base import BLANK, PLACES, VISITS, Registry, normal, places, secs, visits
 
 R = Registry()
-_HMS = "^ *([0-9]{1,2}):([0-9]{1,2})(:([0-9]{1,2}))? *$"
-_N = lambda c: f"case when regexp_matches({c}, '{_HMS}') then lpad(regexp_extract({c}, '{_HMS}', 1), 2, '0') || ':' || lpad(regexp_extract({c}, '{_HMS}', 2), 2, '0') || ':' || lpad(coalesce(nullif(regexp_extract({c}, '{_HMS}', 4), ''), '0'), 2, '0') else {c} end"
-_I = lambda c, k: f"coalesce(try_cast(nullif(regexp_extract({c}, '{_HMS}', {k}), '') as int), 0)"
-_S = lambda c: f"case when regexp_matches({c}, '{_HMS}') then {_I(c, 1)} * 3600 + {_I(c, 2)} * 60 + {_I(c, 4)} end"
-_T = "t as (select distinct arrival_time v from stop_times where not regexp_matches(arrival_time, '[\\t\\n\\x{3000}\\x{a0}]'))"
+_T = "t as (select distinct arrival_time v from stop_times where arrival_time is not null)"
 
 
 def _times(s, d):
     return table(s, d, "stop_times").select(F.col("arrival_time").alias("v")).where("v is not null").distinct()
 
 
-@R.add("tim01_normal_time", f"with {_T} select v, {_N('v')} t from t")
+@R.add("tim01_normal_time", f"with {_T} select v, {normal('v')} t from t")
 def tim01(s, d):
     return _times(s, d).select("v", clock.normal(F.col("v")).alias("t"))
 
 
-@R.add("tim02_seconds", f"with {_T} select v, {_S('v')} secs from t")
+@R.add("tim02_seconds", f"with {_T} select v, {secs('v')} secs from t")
 def tim02(s, d):
     return _times(s, d).select("v", clock.seconds(F.col("v")).alias("secs"))
 
 
-@R.add("tim03_minutes", f"with {_T} select v, ({_S('v')}) // 60 m, lpad(cast(({_S('v')}) // 3600 as varchar), 2, '0') || ':' || lpad(cast((({_S('v')}) // 60) % 60 as varchar), 2, '0') || ':00' back from t")
+@R.add("tim03_minutes", f"with {_T} select v, ({secs('v')}) // 60 m, lpad(cast(({secs('v')}) // 3600 as varchar), 2, '0') || ':' || lpad(cast((({secs('v')}) // 60) % 60 as varchar), 2, '0') || ':00' back from t")
 def tim03(s, d):
     m = clock.minutes(F.col("v"))
     return _times(s, d).select("v", m.alias("m"), clock.from_minutes(m).alias("back"))
 
 
-@R.add("tim04_cell_time", f"with {_T}, c as (select v, regexp_extract(v, '([0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?)', 1) f from t) select v, case when f <> '' then {_N('f')} end t from c")
+@R.add("tim04_cell_time", f"with {_T}, c as (select v, regexp_extract(v, '([0-9]{{1,2}}:[0-9]{{2}}(:[0-9]{{2}})?)', 1) f from t) select v, case when f <> '' then {normal('f')} end t from c")
 def tim04(s, d):
     return _times(s, d).select("v", clock.cell(F.col("v")).alias("t"))
 
@@ -360,7 +356,7 @@ def str08(s, d):
     return table(s, d, "stops").where("stop_name is not null").select("stop_name", text.hiragana(n).alias("h"), text.has_kanji(n).alias("kanji")).distinct()
 
 
-@R.add("str11_route_keys", "select route_id, regexp_extract(route_long_name, '^([0-9]+)\\s+', 1) num, regexp_replace(route_long_name, '^[0-9]+\\s+', '') rest from routes where route_long_name is not null and not regexp_matches(route_long_name, '[\\x{2000}-\\x{200f}\\x{3000}\\x{a0}\\x{202f}]')")
+@R.add("str11_route_keys", f"select route_id, regexp_extract(route_long_name, '^([0-9]+)[{BLANK}]+', 1) num, regexp_replace(route_long_name, '^[0-9]+[{BLANK}]+', '') rest from routes where route_long_name is not null")
 def str11(s, d):
     n = F.col("route_long_name")
     return table(s, d, "routes").where(n.isNotNull()).select("route_id", text.route_number(n).alias("num"), text.without_number(n).alias("rest"))
@@ -412,7 +408,7 @@ def str18b(s, d):
     return mining.only_value(mining.mine(table(s, d, "documents"), "doc_id", "text"), "doc_id")
 
 
-@R.add("str19_file_names", "select distinct route_long_name, regexp_replace(route_long_name, '[\\\\/:*?\"<>|\\s]+', '_', 'g') f from routes where route_long_name is not null and not regexp_matches(route_long_name, '[\\x{2000}-\\x{200f}\\x{3000}\\x{a0}\\x{202f}]')")
+@R.add("str19_file_names", f"select distinct route_long_name, regexp_replace(route_long_name, '[\\\\/:*?\"<>|{BLANK}]+', '_', 'g') f from routes where route_long_name is not null")
 def str19(s, d):
     n = F.col("route_long_name")
     return table(s, d, "routes").where(n.isNotNull()).select("route_long_name", text.safe_file(n).alias("f")).distinct()

@@ -45,7 +45,10 @@ def win03(s, d):
     return S.collapse(v, "trip_id", "seq", ["la", "lo"]).select("trip_id", "pos", "la", "lo")
 
 
-@R.add("win05_roll_over", f"""with {VISITS}, x as (select trip_id, seq, (arr // 60) % 1440 m from visits), y as (select *, case when m < lag(m) over w and m + 1440 - lag(m) over w <= 180 then 1 else 0 end j from x window w as (partition by trip_id order by seq))
+_PREV = lambda c: f"last_value({c} ignore nulls) over (partition by trip_id order by seq rows between unbounded preceding and 1 preceding)"
+
+
+@R.add("win05_roll_over", f"""with {VISITS}, x as (select trip_id, seq, (arr // 60) % 1440 m from visits), y as (select *, case when m < {_PREV('m')} and m + 1440 - {_PREV('m')} <= 180 then 1 else 0 end j from x)
 select trip_id, seq, m, m + 1440 * cast(sum(j) over (partition by trip_id order by seq rows unbounded preceding) as bigint) rolled from y""")
 def win05(s, d):
     v = visits(s, d).select("trip_id", "seq", (F.floor(F.col("arr") / 60) % 1440).alias("m"))
@@ -58,18 +61,18 @@ def win06(s, d):
     return v.select("trip_id", S.roll_over_adjusted(F.col("x.m")).alias("rolled"))
 
 
-@R.add("win07_monotonic", f"""with {VISITS}, x as (select trip_id, lag(arr) over (partition by trip_id order by seq) - arr fall from visits)
+@R.add("win07_monotonic", f"""with {VISITS}, x as (select trip_id, {_PREV('arr')} - arr fall from visits)
 select trip_id, coalesce(max(fall) <= 0, true) monotonic, max(fall) largest_fall from x group by 1""")
 def win07(s, d):
     return S.monotonic(visits(s, d))
 
 
-@R.add("win08_backward_jump", f"""with {VISITS}, x as (select trip_id, lag(arr) over (partition by trip_id order by seq) - arr fall from visits) select trip_id, max(fall) largest_fall from x group by 1 having max(fall) >= 1800""")
+@R.add("win08_backward_jump", f"""with {VISITS}, x as (select trip_id, {_PREV('arr')} - arr fall from visits) select trip_id, max(fall) largest_fall from x group by 1 having max(fall) >= 1800""")
 def win08(s, d):
     return S.monotonic(visits(s, d)).where("largest_fall >= 1800").select("trip_id", "largest_fall")
 
 
-@R.add("win09_backward_steps", f"with {VISITS}, x as (select trip_id, seq, arr, lag(arr) over w p, lead(arr) over w n from visits window w as (partition by trip_id order by seq)) select trip_id, seq, arr from x where arr < p or arr > n")
+@R.add("win09_backward_steps", f"with {VISITS}, x as (select trip_id, seq, arr, {_PREV('arr')} p, first_value(arr ignore nulls) over (partition by trip_id order by seq rows between 1 following and unbounded following) n from visits) select trip_id, seq, arr from x where arr < p or arr > n")
 def win09(s, d):
     w = W.partitionBy("trip_id").orderBy("seq")
     v = visits(s, d).select("trip_id", "seq", "arr", S.known("arr", w).alias("p"), S.known("arr", w, ahead=True).alias("n"))
@@ -78,7 +81,7 @@ def win09(s, d):
 
 _ROUTE = "regexp_extract(trip_id, '^(.*)_[0-9]+$', 1)"
 _ANOM = f"""{VISITS}, x as (select {_ROUTE} grp, trip_id, seq, stop_id, arr / 60.0 m from visits), y as (select *, lag(stop_id) over w pn, lag(m) over w pm, lead(stop_id) over w nn, lead(m) over w nm from x window w as (partition by grp, trip_id order by seq)),
-med as (select grp, pn a, stop_id b, median(m - pm) med from y where pn is not null group by 1, 2, 3 having count(*) >= 2),
+med as (select grp, pn a, stop_id b, median(m - pm) med from y where pn is not null group by 1, 2, 3 having count(m - pm) >= 2),
 z as (select y.*, y.pm + p.med e1, y.nm - q.med e2 from y left join med p on p.grp = y.grp and p.a = y.pn and p.b = y.stop_id left join med q on q.grp = y.grp and q.a = y.stop_id and q.b = y.nn),
 f as (select *, coalesce(m < pm, false) or coalesce(m > nm, false) backward, coalesce(abs(e1 - e2) <= 3, false) ok, (e1 + e2) / 2 mid from z),
 an as (select trip_id, seq, stop_id, backward, case when ok and (abs(m - mid) >= 5 or backward) then 'high' when backward then 'low' end lv, round(case when ok then mid end, 4) suggestion from f)"""
@@ -153,7 +156,7 @@ def geo09(s, d):
     return h.select("stop_id", F.round(la, 6).alias("lat"), F.round(lo, 6).alias("lon"))
 
 
-_TRIPS = f"""{VISITS}, fl as (select trip_id, arg_min(stop_id, seq) origin, arg_max(stop_id, seq) terminal, arg_min(dep, seq) "start", arg_max(arr, seq) "end", count(*) n from visits where stop_id is not null group by 1)"""
+_TRIPS = f"""{VISITS}, fl as (select trip_id, arg_min(stop_id, seq) origin, arg_max(stop_id, seq) terminal, first(dep order by seq) "start", last(arr order by seq) "end", min(dep) first_dep, count(*) n from visits where stop_id is not null group by 1)"""
 
 
 def _trips(s, d):
@@ -170,7 +173,7 @@ def jn18(s, d):
     return S.link_candidates(_trips(s, d), "trip_id", "origin", "terminal", "start", "end", 60)
 
 
-@R.add("win20_chain_conflicts", f"""with {_TRIPS}, b as (select trip_id, max(block_id) block_id from trips where block_id is not null group by 1), c as (select b.block_id, fl.*, lead(trip_id) over w next_id, lead("start") over w ns, lead(origin) over w no_ from fl join b using (trip_id) window w as (partition by b.block_id order by "start", trip_id))
+@R.add("win20_chain_conflicts", f"""with {_TRIPS}, b as (select trip_id, max(block_id) block_id from trips where block_id is not null group by 1), c as (select b.block_id, fl.*, lead(trip_id) over w next_id, lead("start") over w ns, lead(origin) over w no_ from fl join b using (trip_id) where first_dep is not null window w as (partition by b.block_id order by coalesce("start", first_dep), trip_id))
 select block_id, trip_id this_id, next_id, case when ns < "end" then 'overlap' when no_ <> terminal then 'moved' end verdict from c where next_id is not null and (ns < "end" or no_ <> terminal)""")
 def win20(s, d):
     from ..runtime import table
@@ -180,7 +183,7 @@ def win20(s, d):
     return S.chain_conflicts(t.join(b, "trip_id"), "block_id", "start", "end", "origin", "terminal", "trip_id", "at")
 
 
-@R.add("win16_gap_clusters", f"""with {VISITS}, x as (select stop_id, arr, trip_id, seq, case when arr - lag(arr) over w > 3600 then 1 else 0 end nw from visits where stop_id is not null window w as (partition by stop_id order by arr, trip_id, seq)),
+@R.add("win16_gap_clusters", f"""with {VISITS}, x as (select stop_id, arr, trip_id, seq, case when arr - lag(arr) over w > 3600 then 1 else 0 end nw from visits where stop_id is not null and arr is not null window w as (partition by stop_id order by arr, trip_id, seq)),
 y as (select stop_id, arr, cast(sum(nw) over (partition by stop_id order by arr, trip_id, seq rows unbounded preceding) as bigint) island from x) select stop_id, island, count(*) n, min(arr) lo, max(arr) hi, round(avg(arr), 2) mean from y group by 1, 2""")
 def win16(s, d):
     v = visits(s, d).where("stop_id is not null and arr is not null").withColumn("ord", F.struct("trip_id", "seq"))
@@ -192,7 +195,7 @@ def win21(s, d):
     return visits(s, d).select("trip_id", "seq", F.row_number().over(W.partitionBy("trip_id").orderBy(F.desc("seq"))).alias("new_seq"))
 
 
-@R.add("win27_issue_counts", f"""with {VISITS}, x as (select feed_id, trip_id, arr, lag(arr) over (partition by trip_id order by seq) p from visits) select feed_id, count(*) filter (where arr < p) reversals, count(*) filter (where arr >= 86400) next_day, count(*) n from x group by 1""")
+@R.add("win27_issue_counts", f"""with {VISITS}, x as (select feed_id, trip_id, arr, {_PREV('arr')} p from visits) select feed_id, count(*) filter (where arr < p) reversals, count(*) filter (where arr >= 86400) next_day, count(*) n from x group by 1""")
 def win27(s, d):
     w = W.partitionBy("trip_id").orderBy("seq")
     v = visits(s, d).withColumn("p", S.known("arr", w))

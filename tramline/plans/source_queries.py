@@ -17,7 +17,7 @@ def src21(s, d):
     return c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("table", "row").alias("rows"))
 
 
-@R.add("src19_cell_grid", "with l as (select doc_id, i - 1 \"row\", string_split(text, chr(10))[i] line from documents, unnest(generate_series(1, len(string_split(text, chr(10))))) u(i) where contains(text, ',') and not contains(text, chr(13))), c as (select doc_id, \"row\", j - 1 col, string_split(line, ',')[j] \"value\" from l, unnest(generate_series(1, len(string_split(line, ',')))) u(j)) select doc_id, count(*) n, max(col) last_col from c where trim(\"value\", ' ') <> '' group by 1")
+@R.add("src19_cell_grid", "with l as (select doc_id, i - 1 \"row\", regexp_split_to_array(text, '\\r?\\n')[i] line from documents, unnest(generate_series(1, len(regexp_split_to_array(text, '\\r?\\n')))) u(i) where contains(text, ',')), c as (select doc_id, \"row\", j - 1 col, string_split(line, ',')[j] \"value\" from l, unnest(generate_series(1, len(string_split(line, ',')))) u(j)) select doc_id, count(*) n, max(col) last_col from c where trim(\"value\", ' ') <> '' group by 1")
 def src19(s, d):
     t = table(s, d, "documents").where(F.col("text").contains(","))
     return feeds.grid(t, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("col").alias("last_col"))

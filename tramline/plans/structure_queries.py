@@ -11,7 +11,7 @@ from ..operators import quality as Q
 from ..operators import sequence as S
 from ..operators import structure as T
 from ..runtime import table
-from .base import PLACES, VISITS, Registry, hav, places, visits
+from .base import PLACES, VISITS, Registry, hav, places, secs, visits
 from .sequence_queries import _HEAD, _OFF
 
 R = Registry()
@@ -34,7 +34,7 @@ def col02(s, d):
     return T.registry(T.cells(docs(s, d)), F.left("block", F.lit(6)))
 
 
-_HOUR = 'cast(substr("time", 1, 2) as int) % 24'
+_HOUR = f"""({secs('"time"')}) // 3600 % 24"""
 
 
 @R.add("col03_pivot_grid", f"""with {_CELLS} select block, "name", {', '.join(f'min("time") filter (where {_HOUR} = {i}) h{i}' for i in range(24))} from cells group by 1, 2""")
@@ -44,7 +44,7 @@ def col03(s, d):
     return c.groupBy("block", "name").pivot("hour", list(range(24))).agg(F.min("time")).toDF("block", "name", *[f"h{i}" for i in range(24)])
 
 
-@R.add("col04_unpivot_grid", f"""with {_CELLS} select block, "name", 'h' || {_HOUR} h, min("time") "time" from cells group by 1, 2, 3""")
+@R.add("col04_unpivot_grid", f"""with {_CELLS} select block, "name", 'h' || {_HOUR} h, min("time") "time" from cells where {_HOUR} is not null group by 1, 2, 3""")
 def col04(s, d):
     return col03(s, d).unpivot(["block", "name"], [f"h{i}" for i in range(24)], "h", "time").where("`time` is not null")
 
@@ -449,7 +449,7 @@ def agg24(s, d):
     return table(s, d, "stops").groupBy("feed_id").agg(F.bool_and(F.col("stop_lat").isNotNull()).alias("located"), F.bool_and(F.coalesce("stop_name", F.lit("")) != "").alias("named"))
 
 
-@R.add("udx04_block_summary", f'with {_CELLS} select block, count(distinct trip_id) trips, count(*) cells, min("time") first_time, max("time") last_time from cells group by 1')
+@R.add("udx04_block_summary", f"""with {_CELLS} select block, count(distinct trip_id) trips, count(*) cells, min("time") filter (where {_HOUR} is not null) first_time, max("time") filter (where {_HOUR} is not null) last_time from cells group by 1""")
 def udx04(s, d):
     t = F.when(clock.seconds(F.col("time")).isNotNull(), F.col("time"))
     return T.cells(docs(s, d)).groupBy("block").agg(F.countDistinct("trip_id").alias("trips"), F.count(F.lit(1)).alias("cells"), F.min(t).alias("first_time"), F.max(t).alias("last_time"))
