@@ -173,6 +173,27 @@ def test_pack_places_everything_once(spark):
     assert packing.pack(items.limit(0), "doc", 100).count() == 0
 
 
+def test_long_groups_are_ranked_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 100)
+    items = packing.pieces(spark.range(3000).select(F.col("id").alias("doc"), F.when(F.col("id") % 3 == 0, 40).when(F.col("id") % 3 == 1, 900).otherwise(100).cast("long").alias("tokens")), "doc", 100)
+    rows = packing.pack(items, "doc", 100).collect()
+    per: dict[int, int] = {}
+    for r in rows:
+        per[r["window"]] = per.get(r["window"], 0) + r["tokens"]
+    assert len(rows) == 1000 + 9000 + 1000 == len({(r["doc"], r["piece"]) for r in rows})
+    assert max(per.values()) == 100 and len(per) == 9000 + 1000 + 500
+    b = packing.batches(items, "doc", [40, 100], 100)
+    assert b.groupBy("bound", "batch").count().where(F.col("count") > F.floor(100 / F.col("bound"))).count() == 0 and b.count() == 11000
+
+
+def test_window_query(spark, sf):
+    from tramline.llm.queries import p8_windows
+
+    got = p8_windows(spark, sf)
+    per = got.groupBy("window").agg(F.sum("tokens").alias("n")).agg(F.max("n"), F.sum("n"), F.count("*")).first()
+    assert got.columns == ["doc_id", "piece", "first_token", "tokens", "window"] and per[0] <= 2048 and per[1] / (per[2] * 2048) > 0.95
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"])
 def test_windows_of_documents(spark, sf, name):
     import public_tokenizers

@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
+#: Rows that are ranked in one task; a length or bucket with more is spread over as many salts as it needs.
+RANKED = 50_000
 
 
 def token_counter(vocabulary: str):
@@ -50,7 +52,12 @@ def token_lengths(df: DataFrame, doc_id: str, text: str, vocabulary: str) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = token_counter(vocabulary)
         for pdf in batches:
-            yield pd.DataFrame({doc_id: pdf[doc_id], "tokens": count(pdf[text].tolist()) if len(pdf) else []}).astype({"tokens": "int64"})
+            sizes, at, n = pdf[text].str.len().to_numpy(), 0, []
+            while at < len(pdf):  # texts of about two million characters at once
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 2_000_000)))
+                n += count(pdf[text].iloc[at:to].tolist())
+                at = to
+            yield pd.DataFrame({doc_id: pdf[doc_id], "tokens": np.array(n, np.int64)})
 
     return df.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(doc_id, text).mapInPandas(run, f"`{doc_id}` {dict(df.dtypes)[doc_id]}, tokens long")
 
@@ -100,7 +107,9 @@ def length_buckets(hist: np.ndarray, buckets: int) -> list[int]:
 def batches(items: DataFrame, doc_id: str, bounds: list[int], capacity: int = CAPACITY) -> DataFrame:
     """``items`` with bucket bound and batch number: inside a bucket, batches of as many items as the token budget holds when padded."""
     bound = F.element_at(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b >= F.col("tokens")), 1)
-    ranked = _ranked(items.withColumn("bound", bound), doc_id, "bound")
+    bucketed = items.withColumn("bound", bound)
+    sizes = {r["bound"]: r["n"] for r in bucketed.groupBy("bound").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranked = _ranked(bucketed, doc_id, "bound", sizes)
     return ranked.withColumn("batch", F.floor(F.col("rank") / F.floor(F.lit(capacity) / F.col("bound")))).drop("rank")
 
 
@@ -128,22 +137,33 @@ def packing_plan(hist: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int,
     return plan
 
 
-def _ranked(items: DataFrame, doc_id: str, group: str, salts: int = 64) -> DataFrame:
-    """``items`` with a rank from 0 within ``group``, without gathering a group in one task: ranks by salt, plus offsets."""
-    keyed = items.withColumn("__salt", F.pmod(F.xxhash64(doc_id, "piece"), F.lit(salts)))
-    sizes = keyed.groupBy(group, "__salt").agg(F.count(F.lit(1)).alias("__n"))
+def _ranked(items: DataFrame, doc_id: str, group: str, sizes: dict[int, int]) -> DataFrame:
+    """``items`` with a rank from 0 within ``group``, without gathering a group in one task: ranks by salt, plus offsets.
+
+    ``sizes``: rows of each group, of which there are at most as many as lengths. A group has one salt for every
+    ``RANKED`` of its rows, so a task ranks about that many whatever the sizes are.
+    """
+    wide = [(g, -(-n // RANKED)) for g, n in sizes.items() if n > RANKED]
+    if wide:
+        spread = items.sparkSession.createDataFrame(wide, f"`{group}` {dict(items.dtypes)[group]}, __salts long")
+        keyed = items.join(F.broadcast(spread), group, "left").withColumn("__salt", F.pmod(F.xxhash64(doc_id, "piece"), F.coalesce("__salts", F.lit(1)))).drop("__salts")
+    else:
+        keyed = items.withColumn("__salt", F.lit(0).cast("long"))
+    counts = keyed.groupBy(group, "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(group).orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     r = F.row_number().over(W.partitionBy(group, "__salt").orderBy(doc_id, "piece")) - 1
-    return keyed.withColumn("__r", r).join(F.broadcast(offsets), [group, "__salt"]).withColumn("rank", F.col("__off") + F.col("__r")).drop("__salt", "__off", "__r")
+    return keyed.withColumn("__r", r).join(offsets, [group, "__salt"]).withColumn("rank", F.col("__off") + F.col("__r")).drop("__salt", "__off", "__r")
 
 
 def pack(items: DataFrame, doc_id: str, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (doc_id, piece, first_token, tokens) with ``window``: the windows' tokens sum to at most the capacity.
 
-    Every item is placed once and none is cut here. Offsets are broadcast: there are at most capacity times 64 of them.
+    Every item is placed once and none is cut here. The plan's slots are broadcast: it has at most one pattern for each
+    length, and a pattern has fewer different lengths than the root of twice the capacity.
     """
-    plan = packing_plan(histogram(items, capacity), capacity)
+    hist = histogram(items, capacity)
+    plan = packing_plan(hist, capacity)
     start, base, rows = np.zeros(capacity + 1, np.int64), 0, []
     for times, pattern in plan:
         for length, k in pattern:
@@ -153,7 +173,7 @@ def pack(items: DataFrame, doc_id: str, capacity: int = CAPACITY) -> DataFrame:
     spark = items.sparkSession
     slots = spark.createDataFrame(rows or [(0, 0, 0, 1, 0)], "tokens long, lo long, hi long, each long, base long")
     by_length = slots.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "each", "base"))).alias("slots"))
-    ranked = _ranked(items, doc_id, "tokens")
+    ranked = _ranked(items, doc_id, "tokens", {int(k): int(hist[k]) for k in np.flatnonzero(hist)})
     slot = F.element_at(F.filter("slots", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"])), 1)
     placed = ranked.join(F.broadcast(by_length), "tokens").withColumn("__s", slot)
     return placed.withColumn("window", F.col("__s.base") + F.floor((F.col("rank") - F.col("__s.lo")) / F.col("__s.each"))).select(doc_id, "piece", "first_token", "tokens", "window")

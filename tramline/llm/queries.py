@@ -10,8 +10,12 @@ from .canonical import canonical
 from .entity import match
 from .leakage import RUN, leaks
 from .lookalike import consistent, learn, same_look
+from .packing import windows
 from .prose import is_prose, statistics
 
+#: Vocabulary file of the public tokenizer that windows are counted with.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     stops, routes = table(spark, d, "stops"), table(spark, d, "routes")
@@ -50,6 +54,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_confidence(spark, d).where("confidence >= 0.5").select("stop_id", "survey_id")
 
 
+def p8_windows(spark: SparkSession, d: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every text's pieces with their training window of 2,048 tokens."""
+    return windows(table(spark, d, "documents"), "doc_id", "text", vocabulary)
+
+
 def _leaks(spark: SparkSession, d: str, align: bool) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text", align=align)
 
@@ -72,5 +81,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where((F.col("n_chars") > 0) & ~is_prose()).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_names": p1_names, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_confidence": p7_confidence, "p9_found": p9_found, "p9_scores": p9_scores, "p10_found": p10_found, "p10_statistics": p10_statistics}
+QUERIES = {"p1_found": p1_found, "p1_names": p1_names, "p6_found": p6_found, "p6_mapped": p6_mapped, "p7_found": p7_found, "p7_confidence": p7_confidence, "p8_windows": p8_windows, "p9_found": p9_found, "p9_scores": p9_scores, "p10_found": p10_found, "p10_statistics": p10_statistics}
 SQL: dict[str, str] = {}
