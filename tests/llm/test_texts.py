@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -126,6 +127,42 @@ def test_repeated_fragments_fill_a_text(spark):
     assert all(r["top_fragment"] < 0.3 and r["prose"] for r in got[3:5]) and got[5]["top_fragment"] == 0
 
 
+def test_all_terms_count():
+    """Terms of one kana, of kanji and of more than 12 letters, against a count by hand."""
+    terms = prose.Terms(["の", "停留所", "から", "notwithstanding", "Über", "", None, "ab"])
+    texts = ["のxから停留所のの", "notwithstanding über abc ab", "停留からの所", "", "NOTWITHSTANDING"]
+    got = prose.measure(texts, terms)
+    assert got["common_share"].round(6).tolist() == [round(8 / 9, 6), round(21 / 24, 6), round(3 / 6, 6), 0.0, 1.0]
+
+
+def _dominant(text):
+    """Brute force: coverage of the most frequent n-gram of characters and of words."""
+    flat = re.sub(r"\s+", " ", text)
+    total, best = len(flat.replace(" ", "")), 0
+    units = [(list(flat), n) for n in prose.CHARACTERS] + [(flat.split(), n) for n in prose.WORDS]
+    for seq, n in units:
+        grams = [tuple(seq[i : i + n]) for i in range(len(seq) - n + 1)]
+        times = {g: grams.count(g) for g in set(grams)}
+        top = max(times.values(), default=0)
+        if top < 3:
+            continue
+        for g in (g for g, k in times.items() if k == top):
+            under = {i + j for i, h in enumerate(grams) if h == g for j in range(n)}
+            best = max(best, sum(len(seq[i].strip()) for i in under))
+    return best / total if total else 0.0
+
+
+def test_dominant_equals_brute_force():
+    rng = random.Random(11)
+    texts = ["", "a", "abcabcabcabc", "x y x y x y z"]
+    for _ in range(60):
+        piece = "".join(rng.choice("abc 日本\n") for _ in range(rng.randint(1, 20)))
+        texts.append("".join(piece if rng.random() < 0.5 else rng.choice("abcd ") for _ in range(rng.randint(1, 40))))
+    got = prose.measure(texts, prose.Terms([]))["top_fragment"]
+    for t, g in zip(texts, got, strict=True):
+        assert g >= _dominant(t) - 1e-9 and (g <= _dominant(t) + 1e-9 or g == prose._repetition(t)[2]), t
+
+
 def test_statistics_edges(spark):
     terms = spark.createDataFrame([("en", "the"), ("ja", "です"), (None, None)], "lang string, term string")
     rows = [(1, None), (2, ""), (3, " \n　"), (None, "the"), (4, "the the x"), (4, "the the x"), (5, "a" * 300_000), (6, "\x00\x00")]

@@ -17,22 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfkc
-from .leakage import window_hashes
 
 # classes of code points
 OTHER, SPACE, NEWLINE, DIGIT, LATIN, HIRAGANA, KATAKANA, HAN, END = range(9)
-# Marks that may close a line of prose, and Hiragana's first code point.
+# Marks that may close a line of prose.
 CLOSING = ".!?…。!?」』\"'”’)）:;：；､、"
-KANA0 = 0x3040
 
 STATISTICS = {
     "n_chars": "long", "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "closed_lines": "double",
-    "common_words": "double", "particle_share": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double", "top_fragment": "double", "prose_share": "double",
+    "common_words": "double", "common_share": "double", "particle_share": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double", "top_fragment": "double", "prose_share": "double",
 }
 
 #: Lengths of the n-grams whose dominance is measured.
 CHARACTERS = (4, 8, 16, 32, 64, 128, 256)
 WORDS = (1, 2, 3, 4)
+#: Odd multipliers of the hashes, and bits of the sieve for frequent runs.
+MIX, BASE, SIEVE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), 22
 
 _TABLES: list[np.ndarray] = []
 
@@ -65,34 +65,53 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def _word_key(word: str) -> int:
-    return sum((ord(c) - 96) * 27**j for j, c in enumerate(word))
-
-
 class Terms:
-    """Frequent words: Latin ones of up to 12 letters, and kana particles of two characters or more."""
+    """Frequent words: those of spaced scripts are met as whole words, those of Japanese wherever they are written."""
 
     def __init__(self, terms: list[str]):
-        latin = [t.lower() for t in terms if t and t.isascii() and t.isalpha() and len(t) <= 12]
-        self.latin = np.unique(np.array([_word_key(t) for t in latin], np.uint64))
-        kana = [t for t in terms if len(t) >= 2 and all(0x3041 <= ord(c) <= 0x309F for c in t)]
-        self.pairs = np.zeros((96, 96), bool)
-        for t in kana:
-            self.pairs[ord(t[0]) - KANA0, ord(t[1]) - KANA0] = True
+        kinds, _ = _classes()
+        folded = sorted({nfkc(t).strip().lower() for t in terms if t and t.strip()})
+        codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in folded]
+        spaced = [c for c in codes if (kinds[c] == LATIN).all()]
+        self.longest = max(map(len, spaced), default=0)
+        self.words = np.unique(np.array([self._key(c) for c in spaced], np.uint64))
+        self.written = [c for c in codes if np.isin(kinds[c], (HIRAGANA, KATAKANA, HAN)).any()]
+        self.first = np.zeros(0x110000, bool)
+        self.first[[c[0] for c in self.written]] = True
+        #: terms of two kana or more: the ones that scrambled text does not keep
+        self.particles = [len(c) > 1 and bool((kinds[c] == HIRAGANA).all()) for c in self.written]
+
+    @staticmethod
+    def _key(codes: np.ndarray) -> np.uint64:
+        with np.errstate(over="ignore"):
+            return np.add.reduce(codes.astype(np.uint64) * BASE ** np.arange(1, len(codes) + 1, dtype=np.uint64))
 
     def common(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether each word (a span of the array) is a frequent one."""
         n = ends - starts
-        key, plain = np.zeros(len(starts), np.uint64), n <= 12
-        for j in range(12):
-            more = (n > j) & plain
-            at = starts[more] + j
-            c = low[at].astype(np.int64) - 96
-            ok = (c >= 1) & (c <= 26)
-            key[more] += np.where(ok, c, 0).astype(np.uint64) * np.uint64(27**j)
-            plain[np.flatnonzero(more)[~ok]] = False
-        at = np.searchsorted(self.latin, key)
-        return plain & (self.latin[np.minimum(at, len(self.latin) - 1)] == key) if len(self.latin) else np.zeros(len(starts), bool)
+        key, fits = np.zeros(len(starts), np.uint64), n <= self.longest
+        with np.errstate(over="ignore"):
+            for j in range(self.longest):
+                more = np.flatnonzero((n > j) & fits)
+                key[more] += low[starts[more] + j].astype(np.uint64) * BASE ** np.uint64(j + 1)
+        at = np.searchsorted(self.words, key)
+        return fits & (self.words[np.minimum(at, len(self.words) - 1)] == key) if len(self.words) else np.zeros(len(starts), bool)
+
+    def covered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each character stands in a written term, and whether it stands in a particle."""
+        any_, part = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+        heads = np.flatnonzero(self.first[codes])
+        head = codes[heads]
+        for term, particle in zip(self.written, self.particles, strict=True):
+            at = heads[head == term[0]]
+            at = at[at + len(term) <= len(codes)]
+            for j in range(1, len(term)):
+                at = at[codes[at + j] == term[j]]
+            for j in range(len(term)):
+                any_[at + j] = True
+                if particle:
+                    part[at + j] = True
+        return any_, part
 
 
 def measure(texts: list[str], terms: Terms) -> pd.DataFrame:
@@ -128,13 +147,11 @@ def measure(texts: list[str], terms: Terms) -> pd.DataFrame:
     line_of_word = np.searchsorted(line_end, starts, "left")
     words = np.bincount(line_of_word, minlength=len(line_end))
     word_chars = np.bincount(line_of_word, ends - starts, len(line_end))
-    common = np.bincount(line_of_word, terms.common(low, starts, ends), len(line_end))
-    # particles: characters covered by a frequent pair of kana
-    kana = np.where(kind == HIRAGANA, raw - KANA0, 0).astype(np.uint8)
-    pair = np.zeros(len(raw), bool)
-    if len(raw) > 1:
-        pair[:-1] = terms.pairs[np.minimum(kana[:-1], 95), np.minimum(kana[1:], 95)]
-    particles = np.bincount(line_of[np.flatnonzero(pair)], minlength=len(line_end)) * 2
+    frequent = terms.common(low, starts, ends)
+    common = np.bincount(line_of_word, frequent, len(line_end))
+    written, particle = terms.covered(low)
+    particles = np.bincount(line_of[np.flatnonzero(particle)], minlength=len(line_end))
+    in_terms = np.bincount(line_of[np.flatnonzero(written)], minlength=len(line_end)) + np.bincount(line_of_word, np.where(frequent, ends - starts, 0), len(line_end))
     # the last character of a line, before up to three blanks
     last = np.maximum(line_end - 1, 0)
     for _ in range(3):
@@ -155,68 +172,127 @@ def measure(texts: list[str], terms: Terms) -> pd.DataFrame:
     top = np.maximum([r[2] for r in repeats], dominant(raw, kind, doc_ends)) if texts else np.zeros(0)
     return pd.DataFrame({
         "n_chars": n.astype(np.int64), "n_words": (n_words + by_doc(ja)).astype(np.int64), "mean_word_length": div(by_doc(word_chars), n_words), "symbol_ratio": div(n - by_doc(letters) - by_doc(digits), n),
-        "digit_ratio": div(by_doc(digits), n), "closed_lines": div(by_doc(closed), lines), "common_words": div(g(common), read_words), "particle_share": div(g(particles), read_ja),
+        "digit_ratio": div(by_doc(digits), n), "closed_lines": div(by_doc(closed), lines), "common_words": div(g(common), read_words), "common_share": div(by_doc(in_terms), by_doc(letters)), "particle_share": div(g(particles), read_ja),
         "duplicate_lines": [r[0] for r in repeats], "duplicate_paragraphs": [r[1] for r in repeats], "top_fragment": top, "prose_share": div(by_doc(good), n),
     })
 
 
-def _covered(codes: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, docs: int) -> np.ndarray:
-    """Weight of the units under the most frequent run of ``n`` units of each document, if it comes more than twice."""
-    count = len(codes) - n + 1
-    if count <= 0:
-        return np.zeros(docs)
-    at = np.flatnonzero(doc[:count] == doc[n - 1 :])
-    if not len(at):
-        return np.zeros(docs)
-    d = doc[at]
-    key = (d.astype(np.uint64) << np.uint64(44)) | (window_hashes(codes, n)[at] >> np.uint64(20))
-    order = np.sort(key)
-    first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-    times = np.diff(np.append(first, len(order)))
-    of = (order[first] >> np.uint64(44)).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
-    most = np.maximum.reduceat(times, edge)
-    lead = np.flatnonzero((times == np.repeat(most, np.diff(np.append(edge, len(of))))) & (times > 2))
-    lead = lead[np.unique(of[lead], return_index=True)[1]]
-    if not len(lead):
-        return np.zeros(docs)
-    best = np.zeros(docs, np.uint64)
-    has = np.zeros(docs, bool)
-    best[of[lead]], has[of[lead]] = order[first[lead]], True
-    hit = at[has[d] & (key == best[d])]
-    mark = np.zeros(len(codes) + 1, np.int32)
-    mark[hit] += 1
-    mark[hit + n] -= 1
-    return np.bincount(doc, np.where(np.cumsum(mark[:-1]) > 0, weight, 0), docs)
+class _Runs:
+    """Dominance of runs of units, documents side by side: ``doc`` is each unit's document, ``weight`` its characters.
+
+    A run that comes more than twice is made of shorter runs that do, so each length looks only where the parts it is
+    put together from came more than twice; what is counted there is counted exactly.
+    """
+
+    def __init__(self, hashes: np.ndarray, doc: np.ndarray, weight: np.ndarray, docs: int):
+        self.unit, self.doc, self.docs = hashes, doc, docs
+        self.before = np.append(0, np.cumsum(weight))
+        self.best = np.zeros(docs, np.int64)
+        #: length of the runs looked at last, their hashes by start, and the starts that may come more than twice
+        self.n, self.hash, self.often = 0, hashes, np.zeros(0, bool)
+
+    def first(self, n: int) -> None:
+        """Look at runs of ``n`` units, all of them."""
+        self.n, count = n, len(self.unit) - n + 1
+        if count <= 0:
+            self.often = np.zeros(0, bool)
+            return
+        h = self.unit[:count].copy()
+        with np.errstate(over="ignore"):
+            for j in range(1, n):
+                h = h * MIX + self.unit[j : j + count]
+        self.hash = h
+        self._look(np.flatnonzero(self.doc[:count] == self.doc[n - 1 :]))
+
+    def longer(self, n: int) -> None:
+        """Look at runs of ``n`` units, at most twice as many as before: two that overlap or touch make one."""
+        step, self.n = n - self.n, n
+        count = len(self.often) - step
+        if count <= 0 or not self.often.any():
+            self.often = np.zeros(0, bool)
+            return
+        at = np.flatnonzero(self.often[:count] & self.often[step:])
+        at = at[self.doc[at] == self.doc[np.minimum(at + n, len(self.doc)) - 1]]
+        with np.errstate(over="ignore"):
+            h = np.zeros(count, np.uint64)
+            h[at] = (self.hash[at] ^ (self.hash[at] >> np.uint64(31))) * MIX + self.hash[at + step]
+        self.hash = h
+        self._look(at)
+
+    def _look(self, at: np.ndarray) -> None:
+        self.often = np.zeros(len(self.hash), bool)
+        if not len(at):
+            return
+        d = self.doc[at]
+        with np.errstate(over="ignore"):
+            h = (self.hash[at] ^ (self.hash[at] >> np.uint64(29))) * MIX
+        key = (d.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20))
+        order = np.sort(key)
+        new = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
+        times = np.diff(np.append(new, len(order)))
+        many = times > 2
+        if not many.any():
+            return
+        runs, times = order[new[many]], times[many]
+        # a sieve of the frequent runs: what passes it may be less frequent, what does not is not frequent
+        slot = lambda k: ((k * MIX if len(k) else k) >> np.uint64(64 - SIEVE)).astype(np.int64)
+        sieve = np.zeros(1 << SIEVE, bool)
+        with np.errstate(over="ignore"):
+            sieve[slot(runs)] = True
+            passed = sieve[slot(key)]
+        self.often[at[passed]] = True
+        of = (runs >> np.uint64(44)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(of) != 0]))
+        most = np.repeat(np.maximum.reduceat(times, edge), np.diff(np.append(edge, len(of))))
+        lead = times == most
+        top, of = runs[lead], of[lead]
+        at, key = at[passed], key[passed]
+        which = np.minimum(np.searchsorted(top, key), len(top) - 1)
+        same = top[which] == key
+        at, which = at[same], which[same]
+        order = np.argsort(which, kind="stable")
+        at, which = at[order], which[order]
+        # up to the next start of the same run, where that overlaps
+        after = np.where(np.append(which[1:] == which[:-1], False), np.append(at[1:], 0), len(self.doc))
+        share = np.bincount(which, self.before[np.minimum(at + self.n, after)] - self.before[at], len(top)).astype(np.int64)
+        np.maximum.at(self.best, of, share)
 
 
 def dominant(raw: np.ndarray, kind: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
     """Share of each text's characters under its most frequent n-gram of characters or of words, the largest of all lengths.
 
-    Runs of blanks and line ends are one blank, which parts words; a fragment repeated without end is covered whole by
-    n-grams longer than itself.
+    An n-gram counts if it comes more than twice; of several as frequent, the one that covers most. Runs of blanks and line ends are one blank, which parts words; a
+    fragment repeated without end is covered whole by n-grams longer than itself.
     """
     docs = len(doc_ends)
-    doc = np.searchsorted(doc_ends, np.arange(len(raw)), "left")
+    doc = np.repeat(np.arange(docs), np.diff(np.append(-1, doc_ends)))[: len(raw)]
     blank = (kind == SPACE) | (kind == NEWLINE)
     keep = ~blank | np.concatenate([[True], ~blank[:-1]])[: len(blank)]
-    codes, doc, blank = np.where(blank, 32, raw)[keep].astype(np.uint32), doc[keep], blank[keep]
+    codes, doc, blank = np.where(blank, 32, raw)[keep].astype(np.uint64) + np.uint64(1), doc[keep], blank[keep]
     weight = (~blank).astype(np.int64)
     total = np.bincount(doc, weight, docs)
-    best = np.zeros(docs)
-    for n in CHARACTERS:
-        best = np.maximum(best, _covered(codes, doc, weight, n, docs))
+    with np.errstate(over="ignore"):
+        spread = codes * MIX
+        spread ^= spread >> np.uint64(29)
+    chars = _Runs(spread, doc, weight, docs)
+    chars.first(CHARACTERS[0])
+    for n in CHARACTERS[1:]:
+        chars.longer(n)
+    best = chars.best
     start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1] | (np.diff(doc) != 0)])[: len(blank)])
     if len(start):
         end = np.flatnonzero(~blank & np.concatenate([blank[1:] | (np.diff(doc) != 0), [True]]))
         place = np.arange(len(codes)) - np.repeat(np.append(0, start), np.diff(np.concatenate([[0], start, [len(codes)]])))
         with np.errstate(over="ignore"):
-            mixed = (codes.astype(np.uint64) + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1))
+            mixed = codes * (place.astype(np.uint64) * BASE | np.uint64(1))
             mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xD6E8FEB86659FD93)
-        words = np.add.reduceat(np.where(blank, np.uint64(0), mixed), start)
-        for n in WORDS:
-            best = np.maximum(best, _covered(words, doc[start], end - start + 1, n, docs))
+            mixed *= MIX
+        mixed[blank] = 0
+        words = _Runs(np.add.reduceat(mixed, start), doc[start], end - start + 1, docs)
+        words.first(WORDS[0])
+        for n in WORDS[1:]:
+            words.longer(n)
+        best = np.maximum(best, words.best)
     return np.divide(best, total, out=np.zeros(docs), where=total > 0)
 
 
@@ -264,6 +340,7 @@ def statistics(df: DataFrame, doc_id: str, text: str, terms: DataFrame, term: st
 
 def is_prose() -> Column:
     """Combined rules over the STATISTICS: most characters stand in lines that read as prose, the reading lines as a whole
-    have a language's share of frequent words or particles, and no fragment, repeated lines or repeated paragraphs fill the text."""
+    have a language's share of frequent words or particles, some of all letters stand in frequent terms, and no fragment,
+    repeated lines or repeated paragraphs fill the text. Marks at line ends do not count: prose may do without."""
     read = (F.col("common_words") >= 0.15) | (F.col("particle_share") >= 0.09)
-    return (F.col("prose_share") >= 0.5) & read & (F.col("top_fragment") < 0.5) & (F.col("duplicate_lines") <= 0.5) & (F.col("duplicate_paragraphs") <= 0.5)
+    return (F.col("prose_share") >= 0.5) & read & (F.col("common_share") >= 0.05) & (F.col("top_fragment") < 0.5) & (F.col("duplicate_lines") <= 0.5) & (F.col("duplicate_paragraphs") <= 0.5)
