@@ -136,6 +136,41 @@ def test_normalise_times_table(spark):
     assert instants.normalise_times(df.limit(0), zones, ["a", "b"]).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 64, 10**9])
+def test_chains_do_not_end_at_blocks(spark, block):
+    """Ambiguous stretches across, before, after and over whole blocks, against one Viterbi chain per source."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        d = rng.randrange(1, 28)
+        v = rng.choice([f"2026/{rng.randrange(1, 13)}/{rng.randrange(1, 13)} 8:{i % 60:02}", f"{rng.randrange(1, 13)}/{rng.randrange(1, 13)}/2026 9:00", *([] if 40 < i < 120 else [f"2026-02-{d:02} 10:00", "24:10", None, "x"])])
+        rows.append((i, "f" if i % 3 else None, f"202602{d:02}", v))
+    df = spark.createDataFrame(rows, "row_id long, feed_id string, service_date string, a string").repartition(7)
+    zones = spark.createDataFrame([("f", "Asia/Tokyo"), ("g", "no zone")], "feed_id string, agency_timezone string")
+    want = {}
+    for feed, tz in (("f", "Asia/Tokyo"), (None, None)):
+        mine = [r for r in rows if r[1] == feed]
+        got = instants.viterbi([instants.interpretations(r[3], r[2], tz) for r in mine], [instants._noon_start(r[2], tz) for r in mine])
+        want |= {r[0]: g for r, g in zip(mine, got, strict=True) if g is not None}
+    assert {r["row_id"]: r["utc_second"] for r in instants.normalise_times(df, zones, ["a"], block=block).collect()} == want
+
+
+def test_jvm_reads_as_python_does(spark):
+    values = ["8:05", " ８：０５：０７ ", "47:59:59.5", "48:00", "12:60", "2026-02-05T08:33:00+09:00", "2026-02-05 8:33", "2026-02-30 08:00", "2026-02-05T25:00:00", "2026-02-05T08:33:00.25-0730", "2026-02-05T08:33Z", "2026-11-01 01:30", "2026-03-08 02:30:00",
+              "1770595500", "1769975700999", "1769975700999123", "12345678", "2026-02-05T08:33:00+24:00", "-1", "８:０５\u3000", "08:" + " " * 100 + "05", "2026-02-05" + " " * 70_000 + "08:33", "7:5", "1:2:3", ""]
+    days = ["20260205", "20261101", "20260308", "2026", None]
+    rows = [(v, d, z) for v in values for d in days for z in ("America/Denver", "Asia/Tokyo", None)]
+    df = spark.createDataFrame(rows, "v string, d string, z string").select("*", instants.read_plainly(F.col("v"), instants.noon_start(F.col("d"), F.col("z")), F.col("z")).alias("q"))
+    read = 0
+    for r in df.collect():
+        want = instants.interpretations(r["v"], r["d"], r["z"])
+        if r["q"] is not None:
+            read += 1
+            assert [tuple(r["q"])] == [w[:2] for w in want], r
+    assert read > 100
+    assert instants.interpretations(values[20], "20260205", "Asia/Tokyo") and instants.interpretations(values[21], "20260205", "Asia/Tokyo")
+
+
 # ---- two copies
 
 

@@ -2,24 +2,34 @@
 
 ``interpretations`` lists every valid reading of a written time; a chain of readings per source is then chosen by
 Viterbi in record order, with penalties for distance from the service day, for changes of notation and for steps back
-in time. Plain clock times on days without a clock change never leave the JVM.
+in time. Plain clock times on days without a clock change never leave the JVM, and the commonest notations with one
+reading are read there.
+
+A value with one reading settles the chain before it, so a source's chain falls into stretches between such values. Pieces
+of a source decode apart from each other; what a piece leaves open at its ends is joined with the open end of the next and
+chosen in a second, small step. The result is that of one chain over the whole source, however it is cut.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import cut, maybe_broadcast
+
 UTC = timezone.utc
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 PLAIN = r"^([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$"
-#: Rows of one source that are read as one chain.
+#: Record numbers of one source that are decoded in one task.
 BLOCK = 8192
 
 # Offsets in hours of zone abbreviations, English month names, first years of Japanese eras.
@@ -42,6 +52,7 @@ _DATE = {
 _FULL = [(name, re.compile(rf"{d}(?:T|\s+)\s*(?:{_HALF_DAY}\s*)?{c}(?:\s*{_ZONE})?", re.A if c is _CLOCK else 0)) for name, d in _DATE.items() for c in (_CLOCK, _KANJI)]
 _COMPACT = re.compile(rf"(?P<y>\d{{4}})(?P<m>\d{{2}})(?P<d>\d{{2}})[T ]?(?P<h>\d{{2}})(?P<mi>\d{{2}})(?P<s>\d{{2}})?(?:[.,]\d+)?\s*{_ZONE}?")
 _BARE = [(f"bare{i}", re.compile(rf"(?P<next>翌日?|翌朝)?\s*(?:{_HALF_DAY}\s*)?{c}(?:\s*(?P<ap2>[AaPp]\.?\s*[Mm]\.?))?")) for i, c in enumerate((_CLOCK, _KANJI))]
+_BLANKS = re.compile(r"\s+")
 _HHMM = re.compile(r"(?P<h>\d{2})(?P<mi>\d{2})(?P<s>\d{2})?")
 
 
@@ -95,8 +106,8 @@ def interpretations(value: str | None, service_date: str | None, tz: str | None)
     """
     if value is None:
         return []
-    v = str(value).translate(_WIDE).strip()
-    if not v or len(v) > 64:
+    v = _BLANKS.sub(" ", str(value).translate(_WIDE)).strip()
+    if not v:
         return []
     out: list[tuple[int, str, float]] = []
 
@@ -169,36 +180,103 @@ def viterbi(rows: list[list[tuple[int, str, float]]], anchors: list[int | None],
     row has one reading, all earlier rows are settled, so memory follows the ambiguous stretches only.
     """
     result: list[int | None] = [None] * len(rows)
-    paths: list[tuple[float, list[tuple[int, int]], tuple[int, str] | None]] = [(0.0, [], None)]
+    # (cost, (path before, row, second), (second, notation)) of the best path to each reading of the row before
+    paths: list[tuple[float, tuple | None, tuple[int, str] | None]] = [(0.0, None, None)]
+
+    def settle(path: tuple | None) -> None:
+        while path:
+            path, j, t = path
+            result[j] = t
+
     for i, options in enumerate(rows):
         if not options:
             continue
-        if len(options) == 1 and len(paths) == 1:
-            result[i] = options[0][0]
-            paths = [(0.0, [], options[0][:2])]
-            continue
         step = []
         for t, notation, cost in options:
-            if anchors[i] is not None:
+            if len(options) > 1 and anchors[i] is not None:
                 cost += day * max(0.0, abs(t - anchors[i] - 86400) / 86400 - 1.5)
-            best = min(paths, key=lambda p: p[0] + (0 if p[2] is None else switch * (p[2][1] != notation) + back * (t < p[2][0])))
-            total = best[0] + cost + (0 if best[2] is None else switch * (best[2][1] != notation) + back * (t < best[2][0]))
-            step.append((total, [*best[1], (i, t)], (t, notation)))
+            follow = [p[0] + (0 if p[2] is None else switch * (p[2][1] != notation) + back * (t < p[2][0])) for p in paths]
+            k = follow.index(min(follow))
+            step.append((follow[k] + cost, (paths[k][1], i, t), (t, notation)))
         if len(step) == 1:
-            for j, t in step[0][1]:
-                result[j] = t
-            step = [(0.0, [], step[0][2])]
+            settle(step[0][1])
+            step = [(0.0, None, step[0][2])]
         paths = step
-    for j, t in min(paths, key=lambda p: p[0])[1]:
-        result[j] = t
+    settle(min(paths, key=lambda p: p[0])[1])
     return result
 
 
-def changes_clock(day, tz):
+def _once(c: Column, f) -> Column:
+    """``f`` of ``c``, with ``c`` evaluated once however often ``f`` takes it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _utc(wall: Column, tz: Column) -> Column:
+    """UTC second of a wall clock, given as seconds since 1970 as if it were UTC; of two, the first; a skipped one keeps the offset before the change."""
+    return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall), tz))
+
+
+def _days(y: Column, m: Column, d: Column) -> Column:
+    """Seconds from 1970 to the start of a date, as if it were UTC; null if there is no such date."""
+    zero = F.lit(0)
+    return F.unix_date(F.try_make_timestamp_ntz(y, m, d, zero, zero, zero).cast("date")).cast("long") * 86400
+
+
+def _day(day: Column) -> Column:
+    """``_days`` of YYYYMMDD."""
+    part = lambda i, n: F.substring(day, i, n).cast("int")
+    return F.when(day.rlike("^[0-9]{8}$"), _days(part(1, 4), part(5, 2), part(7, 2)))
+
+
+def changes_clock(day: Column, tz: Column) -> Column:
     """Whether the day (YYYYMMDD) has a clock change in the zone."""
-    d = F.to_timestamp(F.try_to_timestamp(day, F.lit("yyyyMMdd")))
-    n = d + F.expr("interval 1 day")
-    return (F.unix_timestamp(F.to_utc_timestamp(n, tz)) - F.unix_timestamp(F.to_utc_timestamp(d, tz))) != 86400
+    return _once(_day(day), lambda d: _utc(d + 86400, tz) - _utc(d, tz) != 86400)
+
+
+def noon_start(day: Column, tz: Column) -> Column:
+    """UTC second of noon of the day (YYYYMMDD) in the zone, less 12 hours."""
+    return _utc(_day(day) + 43200, tz) - 43200
+
+
+_A = r"[ \t\n\f\r]*"
+_JVM_CLOCK = rf"([0-9]{{1,2}}){_A}:{_A}([0-9]{{2}})(?:{_A}:{_A}([0-9]{{2}})(?:[.,][0-9]+)?)?"
+_JVM_BARE = rf"^{_JVM_CLOCK}$"
+_JVM_ISO = rf"^([0-9]{{4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?:T|[ \t\n\f\r]+){_A}{_JVM_CLOCK}{_A}(Z|[+-](?:[01][0-9]|2[0-3]):?[0-5][0-9])?$"
+
+
+def read_plainly(value: Column, start: Column, tz: Column) -> Column:
+    """(t, notation) of clock times, ISO dates and epochs, as ``interpretations`` gives them; null for what it must read.
+
+    ``start`` is the day's ``noon_start``; ``tz`` must be null or a zone that Spark knows.
+    """
+    v = F.trim(F.translate(value, "".join(map(chr, _WIDE)), "".join(map(chr, _WIDE.values()))))
+    # each notation is taken apart at once: digits and sign stay, whatever parts them becomes a comma
+    part = lambda x, i: F.coalesce(F.try_element_at(x, F.lit(i)).try_cast("int"), F.lit(0))
+    pair = lambda t, notation: F.when(t.isNotNull(), F.struct(t.cast("long").alias("t"), F.lit(notation).alias("notation")))
+    clock = lambda x, i: part(x, i) * 3600 + part(x, i + 1) * 60 + part(x, i + 2)
+
+    def bare(x: Column) -> Column:
+        return pair(F.when((part(x, 1) < 48) & (part(x, 2) < 60) & (part(x, 3) < 60), start + clock(x, 1)), "bare0")
+
+    def iso(x: Column) -> Column:
+        wall = F.when((part(x, 4) < 24) & (part(x, 5) < 60) & (part(x, 6) < 60), _days(part(x, 1), part(x, 2), part(x, 3)) + clock(x, 4))
+        zone = F.try_element_at(x, F.lit(7))
+        sign = F.when(F.left(zone, F.lit(1)) == "-", -1).otherwise(1)
+        offset = sign * (F.substring(zone, 2, 2).cast("int") * 3600 + F.right(zone, F.lit(2)).cast("int") * 60)
+        return pair(F.when(zone == "", _utc(wall, tz)).when(zone == "Z", wall).otherwise(wall - offset), "iso")
+
+    n = F.length(v)
+    whole = v.try_cast("long")
+    return F.when(F.length(value) <= 64, (  # a long one is left to Python, where blanks are folded first
+        F.when(v.rlike(_JVM_BARE), _once(F.split(F.regexp_replace(v, _JVM_BARE, "$1,$2,$3"), ","), bare))
+        .when(v.rlike(_JVM_ISO), _once(F.split(F.regexp_replace(v, _JVM_ISO, "$1,$2,$3,$4,$5,$6,$7"), ","), iso))
+        .when(v.rlike("^[0-9]{9,16}$"), F.when(n.isin(9, 10), pair(whole, "epoch_s")).when(n.isin(12, 13), pair(F.floor(whole / 1000), "epoch_ms")).when(n == 16, pair(F.floor(whole / 1_000_000), "epoch_us")))
+    ))
+
+
+#: Where a decoded row stands: settled in its piece, open at its beginning or end, or in a piece without any settled row.
+CLOSED, HEAD, TAIL, WHOLE = range(4)
+_OPTIONS = "array<struct<t: long, n: string, c: double>>"
 
 
 def normalise_times(
@@ -207,26 +285,109 @@ def normalise_times(
 ) -> DataFrame:
     """(order, fld, utc_second) for every value of ``fields`` that names a time.
 
-    ``zones`` has one time zone per source (the least, if several); a source without one gives no value that needs it.
-    ``skip_plain`` leaves out plain HH:MM:SS on days without a clock change. Chains run over a source's remaining values
-    in ``order``, in blocks of ``block`` consecutive order values, so the largest source splits over tasks like any
-    other. Null values, null dates and unreadable values give no row; repeated rows give equal rows.
+    ``zones`` has one time zone per source (the least, if several); a source without one, or with one that is no zone,
+    gives no value that needs it. ``skip_plain`` leaves out plain HH:MM:SS on days without a clock change. One chain runs
+    over a source's remaining values in ``order``; ``block`` record numbers are decoded in one task, so the largest source
+    splits over tasks like any other, and does not change the result. Null values, null dates and unreadable values give
+    no row; repeated rows give equal rows.
     """
-    z = zones.where(F.col(source).isNotNull()).groupBy(F.col(source)).agg(F.min(tz).alias("__tz"))
-    base = records.select(F.col(source), F.col(order), F.col(service_date).alias("__date"), F.explode(F.array(*[F.struct(F.lit(f).alias("fld"), F.col(f).alias("v")) for f in fields])).alias("e"))
-    base = base.select(source, order, "__date", "e.fld", "e.v").where(F.col("v").isNotNull() & (F.length(F.trim("v")) > 0))
-    joined = base.join(z, source, "left")
+    spark = records.sparkSession
+    names = spark._jvm.java.time.ZoneId.getAvailableZoneIds().toString().strip("[]").split(", ")
+    known = F.broadcast(spark.createDataFrame([(n,) for n in sorted(names)], "__tz string"))
+    z = zones.where(F.col(source).isNotNull()).groupBy(F.col(source)).agg(F.min(tz).alias("__tz")).join(known, "__tz", "left_semi")
+    z = maybe_broadcast(z)
+    # days and zones are few beside the records: their clocks are worked out once
+    days = records.select(source, F.col(service_date).alias("__date")).distinct().join(z, source).select("__date", "__tz").distinct()
+    days = days.withColumn("__start", noon_start(F.col("__date"), F.col("__tz"))).withColumn("__change", changes_clock(F.col("__date"), F.col("__tz")))
+    days = maybe_broadcast(cut(days.where(F.col("__start").isNotNull())))
+    base = records.select(F.col(source), F.col(order), F.col(service_date).alias("__date"), *fields).join(z, source, "left").join(days, ["__date", "__tz"], "left")
+    base = base.select(source, order, "__date", "__tz", "__start", "__change", F.explode(F.array(*[F.struct(F.lit(f).alias("fld"), F.col(f).cast("string").alias("v")) for f in fields])).alias("e"))
+    joined = base.select("*", "e.fld", "e.v").where(F.col("v").isNotNull() & (F.length(F.trim("v")) > 0))
     if skip_plain:
-        plain = F.col("v").rlike(PLAIN)
-        joined = joined.where(~plain | F.coalesce(changes_clock(F.col("__date"), F.col("__tz")), F.lit(False)))
-    joined = joined.withColumn("__block", F.floor(F.col(order) / F.lit(block)).cast("long"))
+        joined = joined.where(~F.col("v").rlike(PLAIN) | F.coalesce("__change", F.lit(False)))
+    # exploded, so that each value is read once however many columns are taken from the reading
+    joined = joined.select("*", F.explode_outer(F.array(read_plainly(F.col("v"), F.col("__start"), F.col("__tz")))).alias("__q"))
+    some = F.col("__q").isNull()  # only what Python must read is sent to it
+    joined = joined.select(
+        source, order, "fld", "__date", "__tz", F.when(some, F.col("v")).alias("v"), F.col("__q.t").alias("__t"), F.col("__q.notation").alias("__n"),
+        F.coalesce(F.floor(F.col(order) / F.lit(block)).cast("long"), F.lit(-(2**62))).alias("__block"),
+    )
+    kinds = dict(records.dtypes)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k, pdf in enumerate(batches):
+            if not len(pdf):
+                continue
+            who, where = pd.factorize(pdf[source])[0], pdf["__block"].to_numpy()
+            start = np.flatnonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(where) != 0)]))
+            piece = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(pdf))))
+            how, dates, zone, values = (pdf[c].to_numpy(object) for c in ("__n", "__date", "__tz", "v"))
+            second, ways = pdf["__t"].fillna(0).to_numpy().astype(np.int64), pdf["__t"].notna().to_numpy().astype(np.int64)
+            options: dict[int, list] = {}
+            for i in np.flatnonzero(ways == 0).tolist():
+                r = _read(values[i], dates[i], zone[i])
+                ways[i] = len(r)
+                if len(r) == 1:
+                    second[i], how[i] = r[0][:2]
+                elif r:
+                    options[i] = r
+            one = np.flatnonzero(ways == 1)
+            # rows that stay open, and the settled rows next to the ends of each piece: (row, part, shown, options, anchor)
+            ends: list[tuple] = []
+            last = {}
+            for i in options:  # in order: stretches between the same two settled rows go together
+                at = int(np.searchsorted(one, i))
+                lo = int(one[at - 1]) if at and piece[one[at - 1]] == piece[i] else None
+                hi = int(one[at]) if at < len(one) and piece[one[at]] == piece[i] else None
+                if lo is None or hi is None:
+                    ends.append((i, WHOLE if lo is hi else HEAD if lo is None else TAIL, True, options[i], _noon_start(dates[i], zone[i])))
+                else:
+                    last.setdefault((lo, hi), []).append(i)
+            for (lo, hi), row in last.items():
+                chain = [[(int(second[lo]), how[lo], 0.0)], *[options[i] for i in row], [(int(second[hi]), how[hi], 0.0)]]
+                for i, got in zip(row, viterbi(chain, [None, *[_noon_start(dates[i], zone[i]) for i in row], None])[1:-1], strict=True):
+                    second[i], ways[i] = got, 1
+            if len(one):
+                edge = np.flatnonzero(np.concatenate([[True], np.diff(piece[one]) != 0]))
+                for part, rows in ((HEAD, one[edge]), (TAIL, one[np.append(edge[1:], len(one)) - 1])):
+                    ends += [(i, part, False, [(int(second[i]), how[i], 0.0)], None) for i in rows.tolist()]
+            keep = np.flatnonzero(ways == 1)
+            rows = np.append(keep, [e[0] for e in ends]).astype(np.int64)
+            first = start[piece[rows]]
+            fill = lambda j, blank: [blank] * len(keep) + [e[j] for e in ends]  # noqa: B023, E731
+            take = lambda c, at: pdf[c].take(at).array  # noqa: B023, E731
+            yield pd.DataFrame({
+                order: take(order, rows), "fld": take("fld", rows), "utc_second": second[rows], "part": np.array(fill(1, CLOSED), np.int32), "shown": fill(2, True), "options": pd.Series(fill(3, None), dtype=object),
+                "anchor": pd.array(fill(4, None), dtype="Int64"), source: take(source, rows), "piece_order": take(order, first), "piece_fld": take("fld", first), "piece_batch": np.full(len(rows), k, np.int32),
+            })
+
+    kind = f"`{order}` {kinds[order]}, fld string, utc_second long, part int, shown boolean, options {_OPTIONS}, anchor long, `{source}` {kinds[source]}, piece_order {kinds[order]}, piece_fld string, piece_batch int"
+    ordered = joined.repartition(source, "__block").sortWithinPartitions(source, "__block", order, "fld")
+    decoded = cut(ordered.mapInPandas(decode, kind))
+    closed = decoded.where(F.col("part") == CLOSED).select(order, "fld", "utc_second")
+    ends = decoded.where(F.col("part") != CLOSED).withColumn("piece", F.struct("piece_order", "piece_fld", "piece_batch"))
+    # pieces of a source in order: a piece that is open as a whole goes on with the border before it
+    pieces = ends.groupBy(source, "piece").agg((F.max("part") == WHOLE).alias("whole"))
+    w = W.partitionBy(source).orderBy("piece")
+    pieces = pieces.withColumn("step", F.when(F.lag("whole", 1, False).over(w), 0).otherwise(1)).withColumn("border", F.sum("step").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = pieces.select(F.col(source).alias("__s"), F.col("piece").alias("__p"), "border")
+    met = ends.join(pieces, ends[source].eqNullSafe(F.col("__s")) & ends["piece"].eqNullSafe(F.col("__p")))
+    met = met.withColumn("border", F.col("border") + (F.col("part") == TAIL).cast("int"))
+    # nothing is open at most borders
+    met = met.withColumn("open", F.max("shown").over(W.partitionBy("__s", "border"))).where("open")
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, "fld"], kind="stable")
-        rows = [interpretations(v, d, t) for v, d, t in zip(pdf["v"], pdf["__date"], pdf["__tz"], strict=True)]
-        anchors = [_noon_start(d, t) for d, t in zip(pdf["__date"], pdf["__tz"], strict=True)]
-        out = pd.DataFrame({order: pdf[order].to_numpy(), "fld": pdf["fld"].to_numpy(), "utc_second": pd.array(viterbi(rows, anchors), dtype="Int64")})
-        return out[out["utc_second"].notna()]
+        rows = [[(int(o["t"]), o["n"], o["c"]) for o in x] for x in pdf["options"]]
+        got = viterbi(rows, [None if pd.isna(x) else int(x) for x in pdf["anchor"]])
+        out = pd.DataFrame({order: pdf[order].to_numpy(), "fld": pdf["fld"].to_numpy(), "utc_second": pd.array(got, dtype="Int64")})
+        return out[pdf["shown"].to_numpy(bool)]
 
-    kind = dict(records.dtypes)[order]
-    return joined.groupBy(source, "__block").applyInPandas(decode, f"`{order}` {kind}, fld string, utc_second long")
+    late = met.groupBy("__s", "border").applyInPandas(choose, f"`{order}` {kinds[order]}, fld string, utc_second long")
+    return closed.unionAll(late)
+
+
+@lru_cache(65536)
+def _read(value: str, service_date: str | None, tz: str | None) -> list[tuple[int, str, float]]:
+    """``interpretations``, remembered: arrival and departure are often one."""
+    return interpretations(value, service_date, tz)
