@@ -27,6 +27,35 @@ def test_the_usual_writing_represents_its_class(spark):
     assert m["⾞"] == "車" and m["o\u0308"] == "ö" and "車" not in m and "ö" not in m and m["㌔"] == "キロ"
 
 
+def test_clusters_that_no_class_knows_take_their_plain_form():
+    m = lookalike.classes({"ö": 5, "o\u0308": 1, "㌔": 9, "キロ": 1})
+    a, known = lookalike.automaton(m), frozenset(m) | frozenset(m.values())
+    assert lookalike.rewrite("㌔ ㍉ e\u0301", a, known) == lookalike.rewrite("キロ ミリ é", a, known) == "㌔ ミり é"
+
+
+def test_rewriting_goes_on_until_nothing_changes():
+    chain = {chr(0x100 + i): chr(0x101 + i) for i in range(40)}
+    assert lookalike.rewrite("\u0100", lookalike.automaton(chain)) == chr(0x100 + 40)
+    assert lookalike.rewrite("ab", lookalike.automaton({"a": "b", "b": "a"})) == "ab"
+
+
+def test_rare_clusters_beyond_the_drivers_share(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "MOST_CLUSTERS", 1)
+    rows = [("f", "1", "é駅"), ("f", "2", "e\u0301駅"), ("f", "3", "ミリ ミリ"), ("f", "4", "㍉ ㍉"), ("f", "5", "㍉ ミリ")]
+    got = {tuple(r) for r in lookalike.same_look(spark.createDataFrame(rows, "feed string, k string, name string"), "feed", "k", "name").collect()}
+    assert got == {("1", "2"), ("3", "4"), ("3", "5"), ("4", "5")}
+
+
+def test_many_passages_are_searched_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, "".join(rng.choice("abcdefgh") for _ in range(90))) for i in range(9)]
+    docs = [(i, "x " + t[5:70] + " y") for i, t in items] + [(100, "ｶﾞ"), (101, "")]
+    d, q = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, text string")
+    want = {tuple(r) for r in leakage.leaks(d, q, "doc", "text", "item", "text").collect()}
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 4)
+    assert {tuple(r) for r in leakage.leaks(d, q, "doc", "text", "item", "text").collect()} == want and len(want) == 9
+
+
 NAMES = "feed string, k string, name string, feed_extra string"
 
 

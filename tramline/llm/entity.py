@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..operators.spatial import placed, sphere_m
-from ..runtime import cut
+from ..runtime import cut, discard
 from .names import fold, parse
 
 APART_M = 1000.0
@@ -103,7 +103,7 @@ def _units(records: DataFrame) -> DataFrame:
     w = W.partitionBy(*key).orderBy("y", "x", "id")
     has = has.withColumn("row", F.sum(F.coalesce((F.col("y") - F.lag("y").over(w) > GAP_DEG).cast("int"), F.lit(0))).over(w))
     w2 = W.partitionBy(*key, "row").orderBy("x", "y", "id")
-    has = has.withColumn("col", F.sum(F.coalesce((F.col("x") - F.lag("x").over(w2) > GAP_DEG).cast("int"), F.lit(0))).over(w2)).withColumn("place", (F.col("row") * 1000 + F.col("col")).cast("int")).drop("row", "col")
+    has = has.withColumn("col", F.sum(F.coalesce((F.col("x") - F.lag("x").over(w2) > GAP_DEG).cast("int"), F.lit(0))).over(w2)).withColumn("place", (F.col("row").cast("long") * 2**31 + F.col("col"))).drop("row", "col")
     only = has.groupBy(*key).agg(F.min("place").alias("p1"), F.max("place").alias("p2")).where("p1 = p2").select(*key, F.col("p1").alias("place"))
     none = records.where("y is null").join(only, key, "left").withColumn("place", F.coalesce("place", F.lit(-1)))
     return has.unionByName(none.select(*has.columns))
@@ -151,33 +151,39 @@ def _summary(units: DataFrame) -> DataFrame:
     return u.select("unit", "owner", "t.*", "n", F.when(F.col("ny") > 0, F.col("sy") / F.col("ny")).alias("y"), F.when(F.col("ny") > 0, F.col("sx") / F.col("ny")).alias("x"))
 
 
-def propagate(edges: DataFrame, tolerance: float = 5e-3, rounds: int = 40, every: int = 4) -> DataFrame:
-    """Marginal of each edge (u, v, s) under one-to-one factors on both sides; s is the log-odds of the edge by itself.
+def propagate(edges: DataFrame, tolerance: float = 5e-3, rounds: int = 400, every: int = 4) -> DataFrame:
+    """(u, v, s, p, settled): marginal p of each edge (u, v, s) under one-to-one factors on both sides; s is the log-odds of the edge by itself.
 
     The message of u to v is s - log(1 + sum of exp over u's other incoming messages), and likewise back; edges that
-    compete with none are settled at once. Messages are damped by half, and stop when none moves by ``tolerance``.
+    compete with none are settled at once. Messages are damped by half, and stop when none moves by ``tolerance``; what
+    still moves after ``rounds`` comes out with ``settled`` false.
     """
     du, dv = W.partitionBy("u"), W.partitionBy("v")
     e = edges.withColumn("nu", F.count(F.lit(1)).over(du)).withColumn("nv", F.count(F.lit(1)).over(dv))
     e = cut(e)
-    sole = e.where("nu = 1 and nv = 1").select("u", "v", "s", (1 / (1 + F.exp(-F.col("s")))).alias("p"))
+    sole = e.where("nu = 1 and nv = 1").select("u", "v", "s", (1 / (1 + F.exp(-F.col("s")))).alias("p"), F.lit(True).alias("settled"))
     m = e.where("nu > 1 or nv > 1").select("u", "v", "s", F.col("s").alias("muv"), F.col("s").alias("mvu"))
     if m.isEmpty():
         return sole
     cap = lambda c: F.exp(F.least(F.greatest(c, F.lit(-30.0)), F.lit(30.0)))
+    written = None
     for k in range(rounds):
         inu = F.greatest(F.sum(cap(F.col("mvu"))).over(du) - cap(F.col("mvu")), F.lit(0.0))
         inv = F.greatest(F.sum(cap(F.col("muv"))).over(dv) - cap(F.col("muv")), F.lit(0.0))
         nxt = m.withColumn("a", F.col("s") - F.log(1 + inu)).withColumn("b", F.col("s") - F.log(1 + inv))
         move = F.greatest(F.abs(F.col("a") - F.col("muv")), F.abs(F.col("b") - F.col("mvu"))).alias("move")
         m = nxt.select("u", "v", "s", ((F.col("a") + F.col("muv")) / 2).alias("muv"), ((F.col("b") + F.col("mvu")) / 2).alias("mvu"), move)
-        if k % every == every - 1:
-            m = cut(m)
+        if k % every == every - 1 or k == rounds - 1:
+            before, m = written, cut(m)
+            if before is not None:
+                discard(before)
+            written = m
             if (m.agg(F.max("move")).first()[0] or 0) < tolerance:
                 break
-        m = m.drop("move")
+        if k < rounds - 1:
+            m = m.drop("move")
     belief = F.col("muv") + F.col("mvu") - F.col("s")
-    return sole.unionAll(m.select("u", "v", "s", (1 / (1 + F.exp(-belief))).alias("p")))
+    return sole.unionAll(m.select("u", "v", "s", (1 / (1 + F.exp(-belief))).alias("p"), (F.col("move") < tolerance).alias("settled")))
 
 
 def match(
@@ -185,7 +191,7 @@ def match(
     right: DataFrame, right_id: str, right_owner_name: str, right_name: str, right_reading: str, right_lat: str, right_lon: str,
     agencies: DataFrame, agency_name: str, readings: DataFrame | None = None,
 ) -> DataFrame:
-    """(left_id, right_id, confidence): records of the same owner's same place; all records of matched units pair up.
+    """(left_id, right_id, confidence, settled): records of the same owner's same place; all records of matched units pair up.
 
     Left records with a null owner, and records of either side with a null or blank name, match nothing. Right records
     with an unknown owner are tried with every owner within reach of their position, and match nothing without one. A
@@ -216,7 +222,12 @@ def match(
     owners = cut(operators_of(rraw, "op", agencies, left_owner, agency_name))
     named = rraw.join(owners, rraw["op"] == owners["name"], "left").drop(owners["name"])
     known = named.where("owner is not null")
-    unknown = named.where("owner is null").join(names, "name").where(placed(rraw, "la", "lo")).withColumn("cy", F.explode(F.sequence(F.floor(F.col("la") * 50).cast("long") - 1, F.floor(F.col("la") * 50).cast("long") + 1))).withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo") * 50).cast("long") - 1, F.floor(F.col("lo") * 50).cast("long") + 1))).withColumn("d", F.explode("drops"))
+    # without an owner nobody knows which way round a position is: both are tried
+    ways = F.array(F.struct(F.col("la").alias("y"), F.col("lo").alias("x")), F.struct(F.col("lo").alias("y"), F.col("la").alias("x")))
+    somewhere = lambda p: (F.abs(p["y"]) <= 90) & (F.abs(p["x"]) <= 180) & ((p["y"] != 0) | (p["x"] != 0))
+    grid = lambda c, out: F.explode(F.sequence(F.floor(F.col(c) * 50).cast("long") - 1, F.floor(F.col(c) * 50).cast("long") + 1)).alias(out)
+    unknown = named.where("owner is null").join(names, "name").select("*", F.explode(F.filter(ways, somewhere)).alias("at"))
+    unknown = unknown.select("*", grid("at.y", "cy")).select("*", grid("at.x", "cx")).select("*", F.explode("drops").alias("d"))
     cells = ls.where("y is not null").select(F.col("owner").alias("owner2"), "kind", "direction", "facility", "number", F.floor(F.col("y") * 50).cast("long").alias("cy"), F.floor(F.col("x") * 50).cast("long").alias("cx"), F.explode("drops").alias("d"))
     guess = unknown.join(cells, ["kind", "direction", "facility", "number", "cy", "cx", "d"]).select("id", F.col("owner2").alias("owner"), "name", "la", "lo").distinct()
     rows = known.select("id", "owner", "name", "la", "lo", F.lit(True).alias("sure")).unionAll(guess.select("id", "owner", "name", "la", "lo", F.lit(False).alias("sure")))
@@ -246,4 +257,4 @@ def match(
     met = p.where("p >= 0.05").join(rm, "v")
     # a record whose owner was guessed belongs to the owner it fits best
     met = met.withColumn("best", F.max("p").over(W.partitionBy("right_id"))).where("sure or p = best")
-    return met.join(lm, "u").groupBy("left_id", "right_id").agg(F.max("p").alias("confidence"))
+    return met.join(lm, "u").groupBy("left_id", "right_id").agg(F.max("p").alias("confidence"), F.bool_and("settled").alias("settled"))

@@ -94,23 +94,24 @@ def automaton(mapping: dict[str, str]) -> ahocorasick.Automaton | None:
     return a
 
 
-def rewrite(text: str, a: ahocorasick.Automaton | None) -> str:
-    """``text`` cleaned, and members replaced from the left, longest first, until nothing changes (at most 8 rounds)."""
-    text = clean(text)
-    for _ in range(8):
-        if a is None:
-            return text
-        out, at = [], 0
-        for end, (n, rep) in a.iter_long(text):
-            out += [text[at : end - n + 1], rep]
-            at = end + 1
-        if not out:
-            return text
-        new = clean("".join([*out, text[at:]]))
-        if new == text:
-            return text
-        text = new
-    return text
+def rewrite(text: str, a: ahocorasick.Automaton | None, known: frozenset[str] = frozenset()) -> str:
+    """``text`` cleaned, and members replaced from the left, longest first, until nothing changes.
+
+    Clusters that no class knows (``known``: all members and representatives) take Unicode's compatibility form. Should
+    replacements go round in a ring, the least string of it counts.
+    """
+    text, seen = clean(text), []
+    while text not in seen:
+        seen.append(text)
+        if a is not None:
+            out, at = [], 0
+            for end, (n, rep) in a.iter_long(text):
+                out += [text[at : end - n + 1], rep]
+                at = end + 1
+            text = clean("".join([*out, text[at:]])) if out else text
+        if not unicodedata.is_normalized("NFKC", text):
+            text = clean("".join(c if c in known else unicodedata.normalize("NFKC", c) for c in _CLUSTER.findall(text)))
+    return min(seen[seen.index(text) :])
 
 
 def cluster_counts(texts: DataFrame, column: str) -> DataFrame:
@@ -150,14 +151,15 @@ def look_udf(mapping: dict[str, str]):
 
     @pandas_udf("string")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        a = automaton(mapping)
+        a, known = automaton(mapping), frozenset(mapping) | frozenset(mapping.values())
         for s in batches:
-            yield s.map(lambda t: None if t is None else rewrite(t, a))
+            yield s.map(lambda t: None if t is None else rewrite(t, a, known))
 
     return look
 
 
-#: Different clusters that are looked at on the driver; the rest, if a corpus has more, keeps Unicode's own form.
+#: Different clusters that are looked at on the driver, the most frequent; the rest, if a corpus has more, takes
+#: Unicode's own form in ``rewrite`` and the representative of that.
 MOST_CLUSTERS = 300_000
 
 

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import regex
 
+from ..functions.text import DIRECTIONS
 from .lookalike import ALIKE, clean
 
 # Facilities of stopping places and the short forms seen for each, Japanese and English.
@@ -26,7 +27,6 @@ FACILITIES_EN = {
 ADDED_JA = r"\(?バス停\)?|\(?停留所\)?|\(?停留場\)?|\(?のりば\)?|\(?乗り?場\)?|\[?コミバス\]?|※|^[市町村都区]営[ ・]*"
 ADDED_EN = r"\(?\bbus stop\b\)?|\(?\bstop\b\)?|/? ?\bplatform\b|\bbus\b"
 VARIANTS = "鐵鉄 桝枡 櫻桜 澤沢 濱浜 瀧滝 鹽塩 關関 驛駅 峯峰 嶋島 嶌島 﨑崎 嵜崎 薗園 檜桧 槇槙 會会 螢蛍 廣広 邊辺 邉辺 渕淵 稻稲 條条 寶宝 齋斎 齊斉 龍竜 國国 學学 縣県 櫪枥 鷗鴎 鰺鯵 莊荘 燒焼 靜静 榮栄 圓円 萬万 來来 麥麦 雙双 曾曽 假仮 埜野 壺壷 籔薮 凬風 鍊錬 橫横 綠緑 藏蔵 舘館 冨富 嶽岳 龜亀 惠恵 穗穂 莖茎 晝昼 竝並 坐座 糺糾".split()
-DIRECTIONS = "東西南北上下新中旧"
 DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")}
 
 _VARIANT = {ord(v[0]): v[1] for v in VARIANTS}

@@ -47,7 +47,7 @@ def p7_confidence(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "stops"), "stop_id", "feed_id", "stop_name", "stop_lat", "stop_lon",
         table(spark, d, "stop_survey"), "survey_id", "operator_name", "point_name", "point_reading", "lat", "lon", table(spark, d, "agency"), "agency_name",
         table(spark, d, "stop_reference").select(F.col("ref_name").alias("name"), F.col("ref_reading").alias("reading")),
-    ).select(F.col("left_id").alias("stop_id"), F.col("right_id").cast("long").alias("survey_id"), "confidence")
+    ).select(F.col("left_id").alias("stop_id"), F.col("right_id").cast("long").alias("survey_id"), "confidence", "settled")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
