@@ -52,7 +52,7 @@ def test_route_key(spark, short, long, want):
     assert one(spark, text.route_key, short, long) == want
 
 
-@pytest.mark.parametrize("a, b, want", [("上江洲公民館前", "江洲公民館前", False), ("東町", "西町", False), ("東町", "東町二", True), ("駅前", "駅前通り", True), ("北山", "南谷", True)])
+@pytest.mark.parametrize("a, b, want", [("上萩瀬公民館前", "萩瀬公民館前", False), ("東桜", "西桜", False), ("東桜", "東桜二", True), ("車庫前", "車庫前通り", True), ("北藍", "南凪", True)])
 def test_direction_compatible(spark, a, b, want):
     assert one(spark, text.compatible_direction, a, b) is want
 

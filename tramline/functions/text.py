@@ -86,7 +86,11 @@ def zip_code(c: Column) -> Column:
     return c.rlike(r"^[0-9]{3}-?[0-9]{4}$")
 
 
-def compatible_direction(a: Column, b: Column, prefixes: str = "上中下東西南北新旧") -> Column:
+# Signs of direction or age that may stand before a place's name.
+DIRECTIONS = "上中下東西南北新旧"
+
+
+def compatible_direction(a: Column, b: Column, prefixes: str = DIRECTIONS) -> Column:
     """Whether two place names may be one: names that differ only by a direction in front may not.
 
     Equal directions (or none) are compatible. One-sided: the rest must not equal, or from two characters on begin or
