@@ -301,6 +301,60 @@ def test_engine_works_without_the_llm_package(tmp_path):
 
 
 
+def test_readings_equal_greedy_longest_match(spark):
+    import random
+
+    from tramline.operators import matching
+
+    rng = random.Random(8)
+    book = {"駅": "えき", "駅前": "えきまえ", "小": "しょう", "小学校": "しょうがっこう", "前": "まえ", "アイ": "あい"}
+    names = ["".join(rng.choice("駅前小学校アx山") for _ in range(rng.randint(0, 9))) for _ in range(80)]
+
+    def brute(t):
+        out, at = "", 0
+        while at < len(t):
+            hit = max((w for w in book if t.startswith(w, at)), key=len, default=None)
+            out += book[hit] if hit else {"ア": "あ"}.get(t[at], t[at])
+            at += len(hit) if hit else 1
+        return out
+
+    n = spark.createDataFrame([(x, 1) for x in [*names, None]], "name string, hits int")
+    w = spark.createDataFrame([*book.items(), (None, "x"), ("山", None), ("", "y"), ("駅", "ん")], "w string, r string")
+    got = {r["name"]: (r["reading"], r["whole"]) for r in matching.readings(n, "name", w, "w", "r").collect()}
+    assert {k: v[0] for k, v in got.items()} == {t: brute(t) for t in names} and all(v[1] == (not any(c in "駅前小学校山" for c in v[0])) for v in got.values())
+    assert matching.readings(n.where("name <> ''"), "name", w.limit(0), "w", "r").where("name = reading or name like '%ア%'").count() == len(set(names) - {""})
+    assert matching.readings(n.limit(0), "name", w, "w", "r").count() == 0
+
+
+def test_office_tables(spark, tmp_path):
+    import zipfile
+
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    table = lambda rows: "<w:tbl>" + "".join("<w:tr>" + "".join(map(cell, r)) + "</w:tr>" for r in rows) + "</w:tbl>"
+    doc = f'<w:document xmlns:w="w"><w:body>{table([["駅", "8:00"], ["病院", "8:10"]])}{table([["料金", "200"], ["注", "9:00"]])}</w:body></w:document>'
+    slide = '<p:sld xmlns:p="p" xmlns:a="a"><a:tbl><a:tr><a:tc><a:txBody><a:p><a:r><a:t>9:</a:t></a:r><a:r><a:t>05</a:t></a:r></a:p></a:txBody></a:tc><a:tc><a:txBody><a:p><a:r><a:t>9:15</a:t></a:r></a:p></a:txBody></a:tc></a:tr></a:tbl></p:sld>'
+    for name, member, xml in (("a.docx", "word/document.xml", doc), ("b.pptx", "ppt/slides/slide1.xml", slide)):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr(member, xml)
+    (tmp_path / "c.docx").write_bytes(b"no zip file")
+    got = sorted((r["path"][-6:], r["table"], r["row"], r["col"], r["value"]) for r in feeds.scan_office(spark, str(tmp_path)).collect())
+    assert got == [("a.docx", 0, 0, 0, "駅"), ("a.docx", 0, 0, 1, "8:00"), ("a.docx", 0, 1, 0, "病院"), ("a.docx", 0, 1, 1, "8:10"), ("b.pptx", 0, 0, 0, "9:05"), ("b.pptx", 0, 0, 1, "9:15")]
+
+
+def test_entry_outlives_an_llm_package_that_cannot_be_imported():
+    run = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'p2_found' in q and 'p1_found' not in q and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", run], cwd=ROOT, check=True, timeout=60)
+
+
+def test_splice_and_radicals(spark):
+    from tramline.functions import geo as g
+
+    p = lambda la, lo: F.struct(F.lit(la).alias("lat"), F.lit(lo).alias("lon"))
+    line = F.array(p(1.0, 1.0), p(2.0, 2.0), p(3.0, 3.0))
+    row = spark.range(1).select(g.splice(line, p(3.1, 3.0), p(0.9, 1.0)).alias("a"), g.splice(line, p(0.0, 0.0), p(4.0, 4.0)).alias("b"), g.splice(F.array(p(1.0, 1.0)), p(3.0, 3.0), p(1.0, 1.0)).alias("c"), text.radicals(F.lit("小⻑田⺠")).alias("t")).first()
+    assert [x["lat"] for x in row["a"]] == [3.0, 2.0, 1.0] and [x["lat"] for x in row["b"]] == [1.0, 2.0, 3.0] and len(row["c"]) == 1 and row["t"] == "小長田民"
+
+
 def test_shapefile_points(spark, tmp_path):
     import struct
 

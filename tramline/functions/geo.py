@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.spatial import sphere_m
 
-__all__ = ["along", "atan_m", "in_box", "offset_left", "planar", "segment", "speed", "sphere_m", "status"]
+__all__ = ["along", "atan_m", "in_box", "offset_left", "planar", "segment", "speed", "splice", "sphere_m", "status"]
 
 
 def atan_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6_371_000.0) -> Column:
@@ -56,3 +56,10 @@ def status(lat: Column, lon: Column, country: tuple[float, float, float, float],
     y, x = lat.try_cast("double"), lon.try_cast("double")
     out = F.when(F.coalesce(F.trim(lat), F.lit("")) == "", "no_coord").when(F.coalesce(F.trim(lon), F.lit("")) == "", "no_coord").when(y.isNull() | x.isNull(), "bad_value").when(~in_box(y, x, *country), "out_of_country")
     return (out.when(~in_box(y, x, *box), "out_of_box") if box else out).otherwise("ok")
+
+
+def splice(points: Column, start: Column, end: Column) -> Column:
+    """A piece of a line (array of structs lat, lon) in the direction that lays its ends nearest to ``start`` and ``end`` (squared degrees, summed); as it is if both fit alike."""
+    d2 = lambda a, b: F.pow(a["lat"] - b["lat"], 2) + F.pow(a["lon"] - b["lon"], 2)
+    first, last = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
+    return F.when(d2(first, start) + d2(last, end) > d2(last, start) + d2(first, end), F.reverse(points)).otherwise(points)

@@ -26,6 +26,15 @@ def hiragana(c: Column) -> Column:
     return F.translate(c, *_kana_map())
 
 
+# Radicals that Unicode's compatibility forms leave, each before its ideograph.
+RADICALS = "⺠民⻁虎⻄西⻑長⻘青⻤鬼⻩黄⻭歯⻯竜"
+
+
+def radicals(c: Column) -> Column:
+    """Text in compatibility form with the radicals that are left written as ideographs."""
+    return F.translate(c, RADICALS[::2], RADICALS[1::2])
+
+
 def has_kanji(c: Column) -> Column:
     """Whether a text holds a kanji."""
     return c.rlike("[一-鿿]")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import compatible_direction
+from ..functions.text import compatible_direction, has_kanji, hiragana
 
 
 def first_by(df: DataFrame, key: str | list[str], *order: Column | str) -> DataFrame:
@@ -159,3 +159,30 @@ def merge_rows(master: DataFrame, trips: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["trip", "pos", "row"]).astype({"pos": "int32", "row": "Int32"})
 
     return trips.mapInPandas(lay, "trip string, pos int, row int")
+
+
+def readings(names: DataFrame, name: str, words: DataFrame, word: str, reading: str) -> DataFrame:
+    """(name, reading, whole): readings of names by the longest words of a dictionary, from the left.
+
+    What no word covers is kept, katakana as hiragana; ``whole`` says whether no kanji is left. Each distinct name
+    meets the dictionary by its substrings, as long as the longest word, so neither side is broadcast or capped. Of
+    several readings of a word the least counts. Null names, words and readings give nothing; an empty name reads empty.
+    """
+    book = words.where(F.col(word).isNotNull() & (F.col(word) != "") & F.col(reading).isNotNull()).groupBy(F.col(word).alias("w")).agg(F.min(reading).alias("r"))
+    longest = book.agg(F.max(F.length("w"))).first()[0] or 0
+    n = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
+    starts = n.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")).where(F.length("name") > 0)
+    parts = starts.select("name", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("name") - F.col("at") + 1))).alias("n")) if longest else starts.withColumn("n", F.lit(0)).limit(0)
+    hits = parts.withColumn("w", F.expr("substring(name, at, n)")).join(book, "w")
+    best = hits.groupBy("name", "at").agg(F.max_by(F.struct("n", "r"), "n").alias("hit"))
+    found = best.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("at", "hit"))).alias("hits"))
+    step = lambda acc, i, hit, char: (
+        F.when(i < acc["next"], acc)
+        .when(hit.isNotNull(), F.struct((i + hit["n"]).alias("next"), F.concat(acc["text"], hit["r"]).alias("text")))
+        .otherwise(F.struct((i + 1).alias("next"), F.concat(acc["text"], char).alias("text")))
+    )
+    start = F.struct(F.lit(1).alias("next"), F.lit("").alias("text"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: i <= F.length("name"))
+    read = F.aggregate(at, start, lambda acc, i: step(acc, i, F.try_element_at("hits", i), hiragana(F.substr(F.col("name"), i, F.lit(1)))))["text"]
+    out = n.join(found, "name", "left").select("name", read.alias("reading"))
+    return out.withColumn("whole", ~has_kanji(F.col("reading")))

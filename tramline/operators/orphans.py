@@ -2,7 +2,8 @@
 
 State has two parts. The *parent index* holds, per relation, key and load time, the latest end of the parent. To
 judge, it is folded to the frontier of each parent's life: pairs (loaded, gone) in load order, keeping only rows that
-outlive all earlier ones. The *reference state* holds each reference that waits, with its kind so far. A batch of new
+outlive all earlier ones. The *reference state* holds each reference with its kind so far: those that wait, and those that
+are fine, since a deletion may reopen them. A batch of new
 references probes the index; arriving parents and deletions touch keys, and only the references of touched keys are
 judged again: a parent that comes resolves waiting orphans (they turn from missing to late), a deletion that comes
 reopens references that were fine. ``snapshot`` counts per table, field, month and kind.

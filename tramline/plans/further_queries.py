@@ -326,6 +326,32 @@ def str03(s, d):
     return table(s, d, "stops").select("stop_name").distinct().select("stop_name", F.trim(n).alias("n"))
 
 
+_RADICAL = "replace(" * (len(text.RADICALS) // 2) + "nfkc" + "".join(f", '{a}', '{b}')" for a, b in zip(text.RADICALS[::2], text.RADICALS[1::2], strict=True))
+
+
+@R.add("str04_radicals", f"select distinct ref_name, {_RADICAL.replace('nfkc', 'ref_name')} n from stop_reference")
+def str04(s, d):
+    """Radicals repaired in the clean names, which are in compatibility form."""
+    return table(s, d, "stop_reference").select("ref_name", text.radicals(F.col("ref_name")).alias("n")).distinct()
+
+
+@R.add("str10_readings")
+def str10(s, d):
+    """Readings of all stop names by the words of the reference list."""
+    return M.readings(table(s, d, "stops"), "stop_name", table(s, d, "stop_reference"), "ref_name", "ref_reading")
+
+
+@R.add("geo12_splice", """with r as (select district_id, list_zip(ring_lat, ring_lon) p, list_min(ring_lat) la, list_min(ring_lon) lo, list_max(ring_lat) lb, list_max(ring_lon) lp from districts),
+e as (select *, pow(p[1][1] - la, 2) + pow(p[1][2] - lo, 2) + pow(p[-1][1] - lb, 2) + pow(p[-1][2] - lp, 2) straight, pow(p[-1][1] - la, 2) + pow(p[-1][2] - lo, 2) + pow(p[1][1] - lb, 2) + pow(p[1][2] - lp, 2) turned from r)
+select district_id, case when straight > turned then p[-1][1] else p[1][1] end first_lat, case when straight > turned then p[1][2] else p[-1][2] end last_lon from e""")
+def geo12(s, d):
+    """Rings as open lines, laid from the south-west to the north-east corner of their box."""
+    t = table(s, d, "districts")
+    at = lambda f: F.struct(f("ring_lat").alias("lat"), f("ring_lon").alias("lon"))
+    p = geo.splice(F.zip_with("ring_lat", "ring_lon", lambda a, b: F.struct(a.alias("lat"), b.alias("lon"))), at(F.array_min), at(F.array_max))
+    return t.select("district_id", p.alias("p")).select("district_id", F.try_element_at("p", F.lit(1))["lat"].alias("first_lat"), F.try_element_at("p", F.lit(-1))["lon"].alias("last_lon"))
+
+
 @R.add("str06_no_blanks")
 def str06(s, d):
     return table(s, d, "stops").select("stop_name").distinct().select("stop_name", _normal("NFKC", blanks=False)("stop_name").alias("n"))

@@ -268,6 +268,49 @@ def html_cells(df: DataFrame, ident: str, text: str) -> DataFrame:
     return df.where(F.lower(text).contains("<td") | F.lower(text).contains("<th")).select(ident, text).mapInPandas(run, f"`{ident}` {kind}, table int, row int, col int, value string")
 
 
+def _office_cells(content: bytes) -> Iterator[tuple[int, int, int, str]]:
+    """(table, row, col, value) of a .docx or .pptx file: both are zip files of XML with tables of rows and cells."""
+    from xml.etree import ElementTree
+
+    plain = lambda e: e.tag.rsplit("}", 1)[-1]
+    table = -1
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        pages = [n for n in z.namelist() if n == "word/document.xml" or n.startswith("ppt/slides/slide") and n.endswith(".xml")]
+        for page in sorted(pages, key=lambda n: (len(n), n)):
+            for t in ElementTree.fromstring(z.read(page)).iter():
+                if plain(t) != "tbl":
+                    continue
+                table += 1
+                for i, row in enumerate(r for r in t if plain(r) == "tr"):
+                    for j, cell in enumerate(c for c in row if plain(c) == "tc"):
+                        lines = ("".join(x.text or "" for x in p.iter() if plain(x) == "t") for p in cell.iter() if plain(p) == "p")
+                        yield table, i, j, "\n".join(lines).strip()
+
+
+def scan_office(spark: SparkSession, path: str, least: int = 2) -> DataFrame:
+    """(path, table, row, col, value) of the tables of .docx and .pptx files that hold ``least`` cells with a time or more.
+
+    Files are read on the executors from any storage; one that is no such file gives nothing. Tables inside a cell count
+    as tables of their own.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(p, *c) for c in _office_cells(bytes(content))]
+                except (zipfile.BadZipFile, SyntaxError):
+                    continue
+            yield pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object if c in ("path", "value") else "int32") for i, c in enumerate(("path", "table", "row", "col", "value"))})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    cells = files.mapInPandas(run, "path string, table int, row int, col int, value string")
+    timed = F.count_if(F.col("value").rlike("[0-9]{1,2}:[0-9]{2}"))
+    kept = cells.groupBy("path", "table").agg(timed.alias("n")).where(F.col("n") >= least).drop("n")
+    return cells.join(kept, ["path", "table"], "left_semi")
+
+
 def grid(df: DataFrame, ident: str, text: str, separator: str = ",") -> DataFrame:
     """(ident, row, col, value) of the non-blank cells of a text's lines."""
     lines = df.where(F.col(text).isNotNull()).select(ident, F.posexplode(F.split(text, "\r?\n")).alias("row", "line"))
