@@ -355,6 +355,24 @@ def test_splice_and_radicals(spark):
     assert [x["lat"] for x in row["a"]] == [3.0, 2.0, 1.0] and [x["lat"] for x in row["b"]] == [1.0, 2.0, 3.0] and len(row["c"]) == 1 and row["t"] == "小長田民"
 
 
+def test_name_forms_equal_brute_force(spark, sf):
+    import re
+    import unicodedata
+
+    q = catalog.queries()
+    names = {r[0] for r in spark.read.parquet(f"{sf}/stops.parquet").select("stop_name").distinct().collect()}
+    folded = lambda t: " ".join(unicodedata.normalize("NFKC", t).split())
+    variants = str.maketrans("ヶヵ澤濱瀧峯嶋櫻鐵關鹽檜", "ケカ沢浜滝峰島桜鉄関塩桧")
+    forms = {
+        "str02_variant_names": lambda t: folded(t).translate(variants),
+        "str03_noise_phrases": lambda t: re.sub(r"\(?バス停\)?|停留所|のりば|\[コミバス\]|※", "", folded(t)).strip(" "),
+        "str06_no_blanks": lambda t: "".join(unicodedata.normalize("NFKC", t).split()),
+    }
+    for k, f in forms.items():
+        got = {r[0]: r[1] for r in q[k](spark, sf).select("stop_name", q[k](spark, sf).columns[1]).collect()}
+        assert got == {t: None if t is None else f(t) for t in names}, k
+
+
 def test_shapefile_points(spark, tmp_path):
     import struct
 
