@@ -99,6 +99,35 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(d, q.limit(0), "doc", "text", "item", "text").count() == 0
 
 
+def test_runs_are_aligned_and_equal_brute_force(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdeé日本語") for _ in range(n))
+    items = [(i, text(150)) for i in range(8)] + [(20, text(30)), (21, None)]
+    docs = [(k, text(200) + t[20 : 20 + n] + text(30)) for k, (t, n) in enumerate((items[i % 8][1], n) for i, n in enumerate(range(40, 62)))] + [(90, items[3][1] * 9), (91, None)]
+    d, q = spark.createDataFrame(docs, "doc long, text string"), spark.createDataFrame(items, "item long, text string")
+    got = {(r["doc"], r["item"]): r for r in leakage.leaks(d, q, "doc", "text", "item", "text", align=False).collect()}
+    assert {k for k, r in got.items() if r["longest_run"] >= 50} == {(i, j) for i, t in docs for j, p in items if t and p and _brute(t, p, 50)}
+    assert all(r["score"] >= 2 * r["longest_run"] for r in got.values())
+    assert leakage.leaks(d, q.limit(0), "doc", "text", "item", "text", align=False).count() == 0
+    assert leakage.leaks(d.limit(0), q, "doc", "text", "item", "text", align=False).count() == 0
+
+
+def test_seeds_are_rare_in_the_corpus(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(77))
+    texts = [passage[:50]] * 3 + [passage[25:]] + [passage[:27] + passage[53:]]
+    p = leakage.letters([passage])[0]
+    h = leakage.window_hashes(p, 24)
+    known = np.unique(h)
+    often = leakage.frequencies(spark.createDataFrame([(t,) for t in texts], "text string"), "text", known, 24)
+    want = [sum(t.count(passage[k : k + 24]) for t in texts) for k in range(len(h))]
+    assert often[np.searchsorted(known, h)].tolist() == want
+    seeds, where = leakage.choose_seeds([p], 50, 24, known, often)
+    # every stretch of 27 window starts holds the rarest of its windows
+    assert all(any(s <= j < s + 27 and want[j] == min(want[s : s + 27]) for j in where[:, 1]) for s in range(len(h) - 26))
+    assert (seeds == h[where[:, 1]]).all()
+
+
 def test_alignment_scores_edited_copies():
     rng = random.Random(1)
     p = np.array([rng.randrange(97, 123) for _ in range(200)], np.uint32)

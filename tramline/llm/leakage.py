@@ -1,15 +1,15 @@
 """Evaluation passages inside training texts.
 
-Texts are reduced to their letters and digits. For exact runs rare n-grams of each passage are taken as seeds, at least
-one in every stretch of ``run`` characters; corpus windows meet the seeds by rolling hash, and an exact extension measures
-the longest shared run. For edited and paraphrased copies all short n-grams of the passages are met, and where several
-lie near one diagonal a banded Smith-Waterman alignment scores the copy.
+Texts are reduced to their letters and digits. For exact runs the n-grams of each passage that are rarest in the corpus
+are taken as seeds, at least one in every stretch of ``run`` characters; corpus windows meet the seeds by rolling hash, a
+banded Smith-Waterman alignment around their diagonals scores the copy, and an exact extension measures the longest shared
+run. For edited and paraphrased copies all short n-grams of the passages are met, and where several lie near one diagonal
+the same alignment scores the copy.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,18 +94,23 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
         return out * _MIX
 
 
-def choose_seeds(passages: list[np.ndarray], run: int, width: int) -> list[tuple[np.uint64, int, int]]:
-    """(hash, passage, offset): in every ``run - width + 1`` window starts the rarest n-gram of the passages, so that any shared run holds a seed."""
-    hashes = [window_hashes(p, width) for p in passages]
-    freq: Counter = Counter()
-    for h in hashes:
-        freq.update(set(h.tolist()))
-    out, span = [], run - width + 1
-    for i, h in enumerate(hashes):
-        rank = [(freq[x], x) for x in h.tolist()]
-        chosen = {min(range(s, min(s + span, len(rank))), key=rank.__getitem__) for s in range(max(1, len(rank) - span + 1))} if rank else set()
-        out += [(h[j], i, j) for j in sorted(chosen)]
-    return out
+def choose_seeds(passages: list[np.ndarray], run: int, width: int, known: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and (passage, offset) of the seeds: in every ``run - width + 1`` window starts the rarest n-gram, so that any shared run holds a seed.
+
+    ``known`` are the sorted hashes of all windows of the passages, ``often`` says how often each occurs in the corpus.
+    """
+    hashes, where, span = [np.empty(0, np.uint64)], [np.empty((0, 2), np.int64)], run - width + 1
+    for i, p in enumerate(passages):
+        h = window_hashes(p, width)
+        if not len(h):
+            continue
+        rank = np.empty(len(h), np.int64)
+        rank[np.lexsort((h, often[np.searchsorted(known, h)]))] = np.arange(len(h))
+        stretches = np.lib.stride_tricks.sliding_window_view(rank, min(span, len(h)))
+        at = np.unique(stretches.argmin(axis=1) + np.arange(len(stretches)))
+        hashes.append(h[at])
+        where.append(np.stack([np.full(len(at), i), at], axis=1))
+    return np.concatenate(hashes), np.concatenate(where)
 
 
 def smith_waterman(cases: list[tuple[np.ndarray, np.ndarray, int]], band: int = BAND) -> np.ndarray:
@@ -139,6 +144,20 @@ def smith_waterman(cases: list[tuple[np.ndarray, np.ndarray, int]], band: int =
     return best
 
 
+def aligned(cases: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """``smith_waterman`` of any number of cases, passages of about one length and some four million letters at once."""
+    out = np.zeros(len(cases), np.int64)
+    order = np.argsort([len(p) for _, p, _ in cases], kind="stable")
+    k = 0
+    while k < len(order):
+        to = k + 1
+        while to < len(order) and (to + 1 - k) * len(cases[order[to]][1]) <= 4_000_000:
+            to += 1
+        out[order[k:to]] = smith_waterman([cases[c] for c in order[k:to]])
+        k = to
+    return out
+
+
 def _run(text: np.ndarray, passage: np.ndarray, i: int, j: int) -> int:
     """Length of the shared run through text position i and passage position j."""
     back = min(i, j)
@@ -149,6 +168,46 @@ def _run(text: np.ndarray, passage: np.ndarray, i: int, j: int) -> int:
     return left + (ahead if b.all() else int(np.argmin(b)))
 
 
+def _sieve(hashes: np.ndarray) -> np.ndarray:
+    """For the first bits of a hash whether any of ``hashes`` begins with them."""
+    sieve = np.zeros(1 << BITS, bool)
+    sieve[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    return sieve
+
+
+def _parts(pdf: pd.DataFrame, text: str) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows of ``pdf`` with the letters and starts of their texts, about two million characters at once."""
+    sizes, at = pdf[text].str.len().to_numpy(), 0
+    while at < len(pdf):
+        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 2_000_000)))
+        yield pdf.iloc[at:to], *letters(pdf[text].iloc[at:to].tolist())
+        at = to
+
+
+def frequencies(texts: DataFrame, text: str, known: np.ndarray, width: int) -> np.ndarray:
+    """How often windows with each of the sorted hashes ``known`` occur in the corpus."""
+    often = np.zeros(len(known), np.int64)
+    if not len(known):
+        return often
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        sieve = _sieve(known)
+        for pdf in batches:
+            for _, codes, starts in _parts(pdf, text):
+                h = window_hashes(codes, width)
+                pos = np.flatnonzero(sieve[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(known, h[pos]), len(known) - 1)
+                inside = pos + width <= starts[np.searchsorted(starts, pos, "right")]
+                at, n = np.unique(at[(known[at] == h[pos]) & inside], return_counts=True)
+                yield pd.DataFrame({"at": at.astype(np.int32), "n": n})
+
+    sums = texts.select(text).mapInPandas(count, "at int, n long").groupBy("at").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    often[sums["at"].to_numpy()] = sums["n"].to_numpy()
+    return often
+
+
 class Grams:
     """All n-grams of the passages, to meet texts at every window that they share."""
 
@@ -221,13 +280,13 @@ class Grams:
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, run: int = RUN, width: int = SEED, align: bool = True) -> DataFrame:
     """(doc_id, item_id, longest_run, score): documents that share letters with a passage.
 
-    Without ``align`` score is null and rows are those that meet a rare seed: a shared run of ``run`` letters always
-    does. With it texts meet passages in all n-grams of ``GRAM`` letters, and rows are those whose alignment scores as
+    Without ``align`` rows are those that meet a rare seed, as a shared run of ``run`` letters always does, with the score
+    of the alignment around the seed's diagonal; rarity is counted in a first pass over the documents. With it texts meet passages in all n-grams of ``GRAM`` letters, and rows are those whose alignment scores as
     much as ``width`` letters in a row: an edited copy is aligned if ``ENOUGH`` of its letters survive, in runs of
     ``GRAM`` or more, near one diagonal.
     Longest run and score are the best over all meetings of document and passage. Null texts and ids, and passages
     shorter than ``width`` letters, give nothing; repeated documents with one id count once. Passages that are too many
-    for one table (``BROADCAST_ROWS`` of them, ``LETTERS`` letters) are searched in parts, one pass over the documents each.
+    for one table (``BROADCAST_ROWS`` of them, ``LETTERS`` letters) are searched in parts, each in own passes over the documents.
     """
     kept = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
     n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()
@@ -244,46 +303,48 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id
     passages = [codes[starts[i] : starts[i + 1]] for i in range(len(rows))]
     if align:
         return _scored(docs, doc_id, doc_text, ids, passages, f"`{item_id}` {dict(items.dtypes)[item_id]}", item_id, width)
-    seeds = choose_seeds(passages, run, width)
+    texts = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(doc_id, doc_text)
+    known = np.unique(np.concatenate([np.empty(0, np.uint64), *(window_hashes(p, width) for p in passages)]))
+    seeds = choose_seeds(passages, run, width, known, frequencies(texts, doc_text, known, width))
     out_type = f"`{doc_id}` {dict(docs.dtypes)[doc_id]}, `{item_id}` {dict(items.dtypes)[item_id]}, longest_run int, score int"
-    shared = docs.sparkSession.sparkContext.broadcast((ids, passages, np.array([s[0] for s in seeds], np.uint64), np.array([s[1:] for s in seeds], np.int64).reshape(-1, 2)))
+    shared = docs.sparkSession.sparkContext.broadcast((ids, passages, *seeds))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, passages, hashes, where = shared.value
         order = np.argsort(hashes, kind="stable")
         hashes, where = hashes[order], where[order]
-        sieve = np.zeros(1 << BITS, bool)
-        sieve[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        sieve = _sieve(hashes)
         for pdf in batches:
-            found: dict[tuple, int] = {}
-            at = 0
-            sizes = pdf[doc_text].str.len().to_numpy()
-            while at < len(pdf):  # texts of about two million characters at once
-                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 2_000_000)))
-                part = pdf.iloc[at:to]
-                at = to
-                text, starts = letters(part[doc_text].tolist())
+            rows = []
+            for part, text, starts in _parts(pdf, doc_text):
                 h = window_hashes(text, width)
                 near = np.flatnonzero(sieve[(h >> np.uint64(64 - BITS)).astype(np.int64)])
                 if not len(near):
                     continue
+                found: dict[tuple[int, int], int] = {}
+                strips: set[tuple[int, int, int]] = set()
                 lo, hi = np.searchsorted(hashes, h[near], "left"), np.searchsorted(hashes, h[near], "right")
-                doc_ids = part[doc_id].to_numpy()
                 for pos, a, b in zip(near[lo < hi], lo[lo < hi], hi[lo < hi], strict=True):
                     d = int(np.searchsorted(starts, pos, "right")) - 1
                     if pos + width > starts[d + 1]:
                         continue
                     doc = text[starts[d] : starts[d + 1]]
                     for k in range(a, b):
-                        i, off = where[k]
+                        i, off = where[k].tolist()
                         p, q = passages[i], int(pos - starts[d])
                         if not np.array_equal(doc[q : q + width], p[off : off + width]):
                             continue
-                        key = (doc_ids[d], ids[i])
-                        found[key] = max(found.get(key, 0), _run(doc, p, q, int(off)))
-            yield pd.DataFrame([(*k, r, None) for k, r in found.items()], columns=[doc_id, item_id, "longest_run", "score"]).astype({"longest_run": "int32", "score": "Int32"})
+                        found[d, i] = max(found.get((d, i), 0), _run(doc, p, q, off))
+                        strips.add((d, i, (q - off) // BAND))
+                # one alignment around the middle of each strip of diagonals
+                score: dict[tuple[int, int], int] = {}
+                cases = sorted(strips)
+                for (d, i, _), x in zip(cases, aligned([(text[starts[d] : starts[d + 1]], passages[i], s * BAND + BAND // 2) for d, i, s in cases]).tolist(), strict=True):
+                    score[d, i] = max(score.get((d, i), 0), x)
+                doc_ids = part[doc_id].to_numpy()
+                rows += [(doc_ids[d], ids[i], r, score[d, i]) for (d, i), r in found.items()]
+            yield pd.DataFrame(rows, columns=[doc_id, item_id, "longest_run", "score"]).astype({"longest_run": "int32", "score": "int32"})
 
-    texts = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(doc_id, doc_text)
     hits = texts.mapInPandas(search, out_type)
     return hits.groupBy(doc_id, item_id).agg(F.max("longest_run").alias("longest_run"), F.max("score").alias("score"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .canonical import canonical
 from .entity import match
-from .leakage import RUN, leaks
+from .leakage import MATCH, RUN, leaks
 from .lookalike import consistent, learn, same_look
 from .packing import windows
 from .prose import is_prose, statistics
@@ -64,7 +64,8 @@ def _leaks(spark: SparkSession, d: str, align: bool) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, False).where(F.col("longest_run") >= RUN).select("doc_id", "item_id")
+    """Documents whose alignment with a passage scores as much as a run of 50 letters, and that have such a run in it."""
+    return _leaks(spark, d, False).where((F.col("score") >= MATCH * RUN) & (F.col("longest_run") >= RUN)).select("doc_id", "item_id")
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
