@@ -83,6 +83,20 @@ def test_belief_propagation_is_exact_on_trees(spark):
         assert abs(got[e[:2]] - p) < 1e-3, (e, p, got)
 
 
+def test_messages_within_groups_are_the_same(spark):
+    edges = [(f"{g}{u}", f"{g}{v}", s, g) for g in "pqr" for u, v, s in (("a", "x", 2.0), ("a", "y", 0.5), ("b", "y", 1.5), ("b", "x", 0.1), ("c", "z", -1.0))]
+    e = spark.createDataFrame(edges, "u string, v string, s double, g string")
+    ran = lambda df: {(r["u"], r["v"]): (round(r["p"], 9), r["settled"]) for r in df.collect()}
+    got = ran(entity.propagate(e, within=("g",)))
+    assert got == ran(entity.propagate(e.drop("g"))) and len(got) == 15
+
+
+def test_matching_spares_the_driver(spark, sf):
+    # every broadcast is a table, a job and a thread of the driver
+    plan = QUERIES["p7_found"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_unsettled_messages_are_marked(spark):
     edges = spark.createDataFrame([("a", "x", 2.0), ("a", "y", 0.5), ("b", "y", 1.5), ("c", "z", 1.0)], "u string, v string, s double")
     few = {(r["u"], r["v"]): r["settled"] for r in entity.propagate(edges, tolerance=1e-9, rounds=2).collect()}
